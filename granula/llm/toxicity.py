@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 PIECE, CARRIER, EDGE = 48, 64, b" .,;:!?"
 #: Words whose distances a worker remembers; the cache empties when full.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 def windows(text: str | None) -> set[bytes]:
