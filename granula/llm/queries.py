@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granula.llm import license_scan, mixing, sharding
 from granula.llm.common import table
 from granula.llm.simhash_dedup import op10_simhash_pigeonring
 from granula.llm.toxicity import op7_compression_toxicity
@@ -13,10 +14,17 @@ from granula.llm.toxicity import op7_compression_toxicity
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_license_set_join": lambda spark, d: license_scan.op2_license_set_join(table(spark, d, "documents")),
+        "op4_splitting_tree_mix": lambda spark, d: mixing.op4_splitting_tree_mix(table(spark, d, "documents")),
         "op7_compression_toxicity": lambda spark, d: op7_compression_toxicity(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op8_hash_tree_sharding": lambda spark, d: sharding.op8_hash_tree_sharding(table(spark, d, "documents")),
         "op10_simhash_pigeonring": lambda spark, d: op10_simhash_pigeonring(table(spark, d, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_license_set_join": license_scan.oracle_sql(),
+        "op4_splitting_tree_mix": mixing.oracle_sql(),
+        "op8_hash_tree_sharding": sharding.oracle_sql(),
+    }
