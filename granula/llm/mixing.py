@@ -25,7 +25,7 @@ from pyspark.sql.window import Window
 
 from granula.llm.common import durable
 
-BLOCK = 64
+BLOCK, WHOLE = 64, 1 << 30
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
 MAX_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
@@ -119,7 +119,7 @@ def _local(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def ranked_blocks(sized: DataFrame, seed: int = 7, bucket_rows: int = 50_000) -> tuple[DataFrame, list[SourcePlan]]:
+def ranked_blocks(sized: DataFrame, seed: int = 7, bucket_rows: int = 50_000, block: int = BLOCK) -> tuple[DataFrame, list[SourcePlan]]:
     """Every block with its rank in its source's permutation, `whole` passes and whether it is in the partial one; and the plan.
 
     The hash buckets follow the table: about bucket_rows blocks in one. The partial pass takes the blocks least by hash while their running words stay within
@@ -127,8 +127,8 @@ def ranked_blocks(sized: DataFrame, seed: int = 7, bucket_rows: int = 50_000) ->
     """
     spark = sized.sparkSession
     wanted = plan(sized)
-    bits = min(40, max(6, math.ceil(math.log2(max([1.0, *(p.size / BLOCK / bucket_rows for p in wanted)])))))
-    cut = blocks(sized, seed).withColumn("bucket", F.shiftright("h", 48 - bits).cast("int"))
+    bits = min(40, max(6, math.ceil(math.log2(max([1.0, *(p.size / min(block, 64) / bucket_rows for p in wanted)])))))
+    cut = blocks(sized, seed, block).withColumn("bucket", F.shiftright("h", 48 - bits).cast("int"))
     known = F.broadcast(_local(spark, [(p.source, p.whole, p.rest) for p in wanted], "source string, whole int, rest double").select(F.col("source").alias("s"), "whole", "rest"))
     tot = cut.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("words") * F.col("copies")).alias("w"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -174,6 +174,17 @@ def to_shards(ranked: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     return placed.withColumn("shard", F.expr("size(filter(ends, e -> e <= rank))")).withColumn("place", F.xxhash64(F.lit(seed), "shard", "source", "rank")).select("doc_id", "source", "size", "copies", "block", "words", "pass", "rank", "shard", "place")
 
 
+def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
+    """docs with every row as often as the mix takes it; the block is a whole document. Rows without words have nothing to take and go."""
+    names = docs.columns
+    ranked, _ = ranked_blocks(durable(sizes(docs)), seed, block=WHOLE)
+    times = ranked.select("doc_id", "source", "size", (F.col("whole") + F.col("more").cast("int")).alias("__times")).where("__times > 0")
+    times = times.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__times")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (size == F.col("__z"))
+    return docs.join(times, same).withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*[F.col(f"`{c}`") for c in names])
+
+
 def op4_splitting_tree_mix(docs: DataFrame) -> DataFrame:
     """The contract's query: taken words of every document."""
     sized = durable(sizes(docs))

@@ -65,6 +65,12 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
     return place(place(measured, key, topology(shards), "shard"), key, topology(shards + 1), "grown_shard")
 
 
+def with_shard(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """All columns of docs and `shard`: a projection, no shuffle."""
+    placed = place(docs, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), topology(shards), "__shard")
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"], F.col("__shard").alias("shard"))
+
+
 def slots(placed: DataFrame, buckets: int) -> DataFrame:
     """Adds `slot`, gapless from 0 within a shard, without sorting a whole shard in one task.
 

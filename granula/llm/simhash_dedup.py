@@ -20,6 +20,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from granula.llm.common import components, durable
 
@@ -183,6 +185,46 @@ def links(fps: DataFrame, radius: int = 3, depth: int = 2) -> DataFrame:
     return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linker(radius), "a long, b long")
 
 
+def fingerprinted(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
+    """All columns of docs and `__fp`."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = np.fromiter((simhash(t.as_py(), shingle, seed) for t in batch.column(at)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*names, "__fp"])
+
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, depth: int = 2, seed: int = 42) -> DataFrame:
+    """docs with one row of each group: the least by (doc_id, null last, text hash); of equal such rows, one.
+
+    Only the narrow columns decide. The rows that go are joined out by (doc_id, text hash), and rows equal in both are
+    numbered only where there are any.
+    """
+    names = docs.columns
+    digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    narrow = durable(fingerprinted(keyed, shingle, seed).select("doc_id", digest, F.col("__fp").alias("fp")))
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")
+    classes = narrow.groupBy("fp").agg(F.min(place).alias("least"))
+    roots = components(links(classes.select("fp"), radius, depth))
+    named = durable(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    first = named.groupBy("root").agg(F.min("least").alias("first"))
+    known = named.join(first, "root").select("fp", "first")
+    groups = narrow.groupBy("doc_id", "th", "fp").agg(F.count(F.lit(1)).alias("copies")).join(known, "fp")
+    gone = durable(groups.where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct())
+    twice = durable(groups.where(place.eqNullSafe(F.col("first")) & (F.col("copies") > 1)).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (digest == F.col("__t"))
+    kept = docs.join(gone, same, "left_anti")
+    if not twice.isEmpty():
+        more = kept.join(twice, same, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(F.lit(1)))).where("__n = 1")
+        kept = kept.join(twice, same, "left_anti").select(*[F.col(f"`{c}`") for c in names]).union(more.select(*[F.col(f"`{c}`") for c in names]))
+    return kept.select(*[F.col(f"`{c}`") for c in names])
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, depth: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id long, fp long, component_id long): component_id is the smallest doc_id reachable over links of at most `radius` bits."""
     fps = durable(fingerprints(docs, shingle, seed))
