@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from granula.plans import registry, signal_queries
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+flagship = signal_queries.q_mdct18
 
 
 def queries():
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.SQL)
