@@ -74,9 +74,9 @@ def same_stream(a: Column, b: Column) -> Column:
 
 def successors(frames: DataFrame) -> DataFrame:
     """Self-join at off + frame_bytes: next_off of the following frame of the same stream, NULL at a break. frames: stream_id, off, frame_bytes, word."""
-    nxt = frames.select("stream_id", F.col("off").alias("next_off"), F.col("word").alias("next_word"))
-    a = frames.withColumn("end", F.col("off") + F.col("frame_bytes"))
-    return a.join(nxt, (a.stream_id == nxt.stream_id) & (a["end"] == nxt.next_off) & same_stream(a.word, nxt.next_word), "left").drop(nxt.stream_id).select("stream_id", "off", "frame_bytes", "word", "next_off")
+    nxt = frames.select(F.col("stream_id").alias("next_stream"), F.col("off").alias("next_off"), F.col("word").alias("next_word"))
+    follows = (F.col("stream_id") == F.col("next_stream")) & (F.col("off") + F.col("frame_bytes") == F.col("next_off")) & same_stream(F.col("word"), F.col("next_word"))
+    return frames.join(nxt, follows, "left").select("stream_id", "off", "frame_bytes", "word", "next_off")
 
 
 def segments(frames: DataFrame) -> DataFrame:

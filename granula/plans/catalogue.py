@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granula.plans import registry, signal_queries
+from granula.plans import coding_queries, frame_queries, registry, signal_queries  # noqa: F401  they register themselves
 
 flagship = signal_queries.q_mdct18
 
