@@ -113,28 +113,37 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
     return w
 
 
-def _unlike(sets: list[set[bytes]]) -> list[set[bytes]]:
-    """One of each group of near copies, told by the six least word hashes: copies would pass off their chance words as recurring ones."""
-    kept: dict[tuple[int, ...], set[bytes]] = {}
-    for words in sets:
-        kept.setdefault(tuple(sorted(map(xxhash.xxh64_intdigest, words))[:6]), words)
-    return list(kept.values())
+def _contexts(texts: list[str]) -> Counter:
+    """How many different pairs of neighbours each window has: copies of one text repeat its chance words, but always between the same words."""
+    seen: dict[int, bytes] = {}
+    for t in texts:
+        words = [w.strip(EDGE)[:PIECE] for w in t.lower().encode("utf-8", "surrogatepass").split()]
+        for before, w, after in zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True):
+            if w:
+                seen[xxhash.xxh64_intdigest(b" ".join((before, w, after)))] = w
+    return Counter(seen.values())
+
+
+def _dictionaries(toxic: list[str], ordinary: list[str], toxic_size: int, ordinary_size: int, least_share: float, least_ratio: float) -> tuple[bytes, bytes]:
+    around, in_t, in_o = _contexts(toxic), Counter(), Counter()
+    for count, texts in ((in_t, toxic), (in_o, ordinary)):
+        for t in dict.fromkeys(texts):
+            count.update(windows(t))
+    in_t = {w: min(n, around[w]) for w, n in in_t.items()}
+    common = sorted(in_o, key=lambda w: (-in_o[w], w))
+    least = max(3, least_share * len(toxic))
+    ratio = {w: (n / len(toxic)) / ((in_o[w] + 1) / (len(ordinary) + 1)) for w, n in in_t.items() if n >= least}
+    marked = sorted((w for w, r in ratio.items() if r > least_ratio), key=lambda w: (-ratio[w], w))
+    return _fill(common, ordinary_size), _fill(marked, toxic_size)
 
 
-def train(toxic: list[str], ordinary: list[str], toxic_size: int = 4096, ordinary_size: int = 8192, least_share: float = 0.01, least_ratio: float = 10.0) -> ToxicityModel:
-    """Dictionaries from three of four texts, the curve from the rest."""
+def train(toxic: list[str], ordinary: list[str], toxic_size: int = 4096, ordinary_size: int = 8192, least_share: float = 0.015, least_ratio: float = 10.0) -> ToxicityModel:
+    """The curve from one text in four under dictionaries of the other three; then the dictionaries are filled from all."""
     if not toxic or not ordinary:
         return ToxicityModel(b"  ", b"", 0, (), 1.0 if toxic else 0.0)
-    fit_t, fit_o = (_unlike([windows(x[i]) for i in range(len(x)) if i % 4 or len(x) < 8]) for x in (toxic, ordinary))
-    in_t, in_o = Counter(), Counter()
-    for count, sets in ((in_t, fit_t), (in_o, fit_o)):
-        for words in sets:
-            count.update(words)
-    common = sorted(in_o, key=lambda w: (-in_o[w], w))
-    least = max(3, least_share * len(fit_t))
-    ratio = {w: (n / len(fit_t)) / ((in_o[w] + 1) / (len(fit_o) + 1)) for w, n in in_t.items() if n >= least}
-    marked = sorted((w for w, r in ratio.items() if r > least_ratio), key=lambda w: (-ratio[w], w))
-    model = ToxicityModel(_fill(common, ordinary_size), _fill(marked, toxic_size), 0.0, ())
+    how = (toxic_size, ordinary_size, least_share, least_ratio)
+    fit_t, fit_o = ([x[i] for i in range(len(x)) if i % 4 or len(x) < 8] for x in (toxic, ordinary))
+    model = ToxicityModel(*_dictionaries(fit_t, fit_o, *how), 0.0, ())
     held_t, held_o = (x[::4] for x in (toxic, ordinary))
     seen: dict[bytes, float] = {}
     y = np.r_[np.ones(len(held_t)), np.zeros(len(held_o))]
@@ -142,6 +151,7 @@ def train(toxic: list[str], ordinary: list[str], toxic_size: int = 4096, ordinar
     cuts = np.unique(top)
     model.passing = float(max(cuts, key=lambda c: (top[y == 1] >= c).mean() - (top[y == 0] >= c).mean()))
     model.weights = tuple(logistic(model.features(held_t + held_o, seen), y))
+    model.ordinary, model.toxic = _dictionaries(toxic, ordinary, *how)
     return model
 
 
