@@ -424,35 +424,119 @@ def cost_and_bits(ix: np.ndarray, hz: int, books: str | None) -> tuple[str, dict
     return "".join(out) + joined[count1], {"big": big // 2, "tables": tables, "regions": (r0, r1), "count1": count1}
 
 
-def rate_loop(xr: np.ndarray, budget: int, hz: int, books: str | None) -> tuple[str, dict, int]:
-    """The least global gain whose coding fits the budget (and the codebooks)."""
-    a34 = np.abs(xr) ** 0.75
+def quantised(xr: np.ndarray, gain: int, extra: np.ndarray | int = 0) -> np.ndarray:
+    """extra: quarter steps of amplification of each line."""
+    return (np.sign(xr) * np.minimum(np.floor((np.abs(xr) * 2.0 ** ((210 - gain + extra) / 4)) ** 0.75 + T.ROUNDING), T.MAX_QUANT)).astype(np.int64)
+
+
+EMPTY = {"big": 0, "tables": [0, 0, 0], "regions": (0, 0), "count1": 0}
+
+
+def rate_loop(xr: np.ndarray, budget: int, hz: int, books: str | None, extra: np.ndarray | int = 0) -> tuple[str, dict, int]:
+    """The least global gain whose coding fits the budget and the codebooks, by bisection; silence if none does."""
     lo, hi, best = 0, 255, None
-    while lo <= hi:  # coarser gains never cost more but for rare ties, so the last step walks up from below
-        gg = (lo + hi) // 2
-        coded = cost_and_bits((np.sign(xr) * np.floor(a34 * 2.0 ** (-0.1875 * (gg - 210)) + T.ROUNDING)).astype(np.int64), hz, books) if a34.max() * 2.0 ** (-0.1875 * (gg - 210)) <= T.MAX_QUANT else None
+    while lo <= hi:
+        gain = (lo + hi) // 2
+        fits = (np.abs(xr) * 2.0 ** ((210 - gain + extra) / 4)).max() ** 0.75 + T.ROUNDING <= T.MAX_QUANT
+        coded = cost_and_bits(quantised(xr, gain, extra), hz, books) if fits else None
         if coded is not None and len(coded[0]) <= budget:
-            best, hi = (*coded, gg), gg - 1
+            best, hi = (*coded, gain), gain - 1
         else:
-            lo = gg + 1
-    if best is None:
-        return "", {"big": 0, "tables": [0, 0, 0], "regions": (0, 0), "count1": 0}, 210
+            lo = gain + 1
+    return best or ("", dict(EMPTY), 210)
+
+
+def amplification(scf: np.ndarray, scale: int, preflag: int, hz: int) -> np.ndarray:
+    """Quarter steps of every line; band 21 has none."""
+    per = 2 * (scale + 1) * (scf + preflag * np.array(T.PRETAB))
+    return np.repeat(np.append(per, 0), LONG[hz])
+
+
+def scalefac_slot(scf: np.ndarray, reuse: int = 0) -> tuple[int, int] | None:
+    """(bits, slot) of the cheapest length pair that holds the groups not reused."""
+    groups = [(g, a, b) for g, (a, b) in enumerate(T.SCFSI_GROUPS) if not reuse & (8 >> g)]
+    best = None
+    for slot, (s1, s2) in enumerate(T.SLEN):
+        if all(scf[a:b].max() < 1 << (s1 if g < 2 else s2) for g, a, b in groups):
+            bits = sum((b - a) * (s1 if g < 2 else s2) for g, a, b in groups)
+            best = min(best or (bits, slot), (bits, slot))
     return best
 
 
-def encode_frame(spectra: list[list[np.ndarray]], hz: int, kbps: int, padding: int, ms: bool, books: str | None) -> bytes:
-    """One MPEG-1 frame from [granule][channel] lines; its main data begins and ends in the frame."""
+def noise_metrics(xr: np.ndarray, ix: np.ndarray, gain: int, extra: np.ndarray, xmin: np.ndarray, hz: int) -> tuple[tuple[float, float, int], np.ndarray]:
+    """((excess, greatest ratio, bands over), noise over xmin of every band)."""
+    error = np.abs(xr) - np.abs(ix) ** (4 / 3) * 2.0 ** ((gain - 210 - extra) / 4)
+    noise = np.bincount(np.repeat(np.arange(22), LONG[hz]), error**2, minlength=22)
+    ratio = noise / np.maximum(xmin, 1e-300)
+    over = noise > xmin
+    return (float((noise - xmin)[over].sum()), float(ratio[over].max(initial=0)), int(over.sum())), ratio
+
+
+def distortion_loop(xr: np.ndarray, xmin: np.ndarray, budget: int, hz: int, books: str | None, rounds: int = 150) -> tuple[str, dict, int, np.ndarray, int, int]:
+    """Amplifies the worst violating band by one step until none is left, none can be helped, or the rounds are over; the best pass by (excess, ratio, over) wins.
+
+    When a scalefactor is at its limit the coarser scale is tried once, then the band counts as beyond help. The pretab is taken
+    over once every high band has at least its amount.
+    """
+    scf, scale, preflag, helpless, best = np.zeros(21, dtype=int), 0, 0, set(), None
+    limit, pretab = np.array([15] * 11 + [7] * 10), np.array(T.PRETAB)
+    for _ in range(rounds):
+        slot = scalefac_slot(scf)
+        if slot is None or slot[0] > budget:
+            break
+        extra = amplification(scf, scale, preflag, hz)
+        bits, fields, gain = rate_loop(xr, budget - slot[0], hz, books, extra)
+        metric, ratio = noise_metrics(xr, quantised(xr, gain, extra), gain, extra, xmin, hz)
+        if best is None or metric < best[0]:
+            best = (metric, bits, fields, gain, scf.copy(), scale, preflag)
+        bad = [b for b in range(21) if ratio[b] > 1 and b not in helpless]
+        if not bad:
+            break
+        worst = max(bad, key=lambda b: (ratio[b], -b))
+        if scf[worst] < limit[worst]:
+            scf[worst] += 1
+        elif not scale:
+            scale, scf = 1, (scf + 1) // 2
+        else:
+            helpless.add(worst)
+        if not preflag and (scf[11:] >= pretab[11:]).all():
+            preflag, scf = 1, scf - pretab
+    if best is None:
+        return "", dict(EMPTY), 210, np.zeros(21, dtype=int), 0, 0
+    return best[1:]
+
+
+def encode_frame(spectra: list[list[np.ndarray]], hz: int, kbps: int, padding: int, ms: bool, books: str | None, xmin: list[list[np.ndarray]] | None = None, rounds: int = 150) -> bytes:
+    """One MPEG-1 frame from [granule][channel] lines; its main data begins and ends in the frame.
+
+    xmin: allowed noise of the 22 bands, which turns the distortion loop on. Equal scalefactor groups of the second granule are
+    reused (scfsi).
+    """
     nch = len(spectra[0])
     size = 144000 * kbps // hz + padding
     side = 17 if nch == 1 else 32
     budget = min(T.MAX_PART23, (size - 4 - side) * 8 // (2 * nch))
-    coded = [[rate_loop(x, budget, hz, books) for x in row] for row in spectra]
+    coded, reuse = [], [0] * nch
+    for g, row in enumerate(spectra):
+        coded.append([])
+        for ch, x in enumerate(row):
+            if xmin is None or not np.any(x):
+                made = (*rate_loop(x, budget, hz, books), np.zeros(21, dtype=int), 0, 0)
+            else:
+                made = distortion_loop(x, xmin[g][ch], budget, hz, books, rounds)
+            scf = made[3]
+            if g and made[4:] == coded[0][ch][4:6]:
+                reuse[ch] = sum(8 >> k for k, (a, b) in enumerate(T.SCFSI_GROUPS) if (scf[a:b] == coded[0][ch][3][a:b]).all())
+            _, slot = scalefac_slot(scf, reuse[ch] if g else 0) or (0, 0)
+            lens = T.SLEN[slot]
+            part2 = "".join(format(int(v), f"0{n}b") for k, (a, b) in enumerate(T.SCFSI_GROUPS) if not (g and reuse[ch] & (8 >> k)) for v in scf[a:b] for n in [lens[k // 2]] if n)
+            coded[g].append((*made, slot, part2))
     mode = 3 if nch == 1 else 1
     head = bytes([0xFF, 0xFB, (T.BITRATES[(1, 3)].index(kbps) << 4) | (T.RATES.index(hz) << 2) | (padding << 1), (mode << 6) | ((2 if ms else 0) << 4) | 4])
-    text = [format(0, "09b"), "0" * (5 if nch == 1 else 3), "0" * 4 * nch]
+    text = [format(0, "09b"), "0" * (5 if nch == 1 else 3), *[format(r, "04b") for r in reuse]]
     for row in coded:
-        for bits, f, gain in row:
-            text += [format(len(bits), "012b"), format(f["big"], "09b"), format(gain, "08b"), "0000", "0", *[format(t, "05b") for t in f["tables"]], format(f["regions"][0], "04b"), format(f["regions"][1], "03b"), "0", "0", str(f["count1"])]
-    text += [bits for row in coded for bits, _, _ in row]
+        for bits, f, gain, _, scale, preflag, slot, part2 in row:
+            text += [format(len(part2) + len(bits), "012b"), format(f["big"], "09b"), format(gain, "08b"), format(slot, "04b"), "0", *[format(t, "05b") for t in f["tables"]], format(f["regions"][0], "04b"), format(f["regions"][1], "03b"), str(preflag), str(scale), str(f["count1"])]
+    text += [part2 + bits for row in coded for bits, *_, part2 in row]
     body = "".join(text)
     return (head + int("1" + body.ljust(-(-len(body) // 8) * 8, "0"), 2).to_bytes(-(-len(body) // 8) + 1, "big")[1:]).ljust(size, b"\0")

@@ -16,8 +16,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from granula.functions import layer3 as L
+from granula.functions import psycho as P
 from granula.functions import tables as T
 from granula.functions.dsp import to_s16
 from granula.operators.frames import cbr_padding
@@ -26,6 +28,8 @@ FRAMES = "stream_id long, frame_no long, segment_id long, off long, frame_bytes
 _FRAME_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
 _FRAME_NAMES = [f.split()[0] for f in FRAMES.split(", ")]
 CONFIRM, MAX_FREE = 10, 2304
+#: Energy of MDCT lines over that of the windowed spectrum for the same noise.
+CALIBRATION = 3.85e-6
 
 
 def _same(a: bytes, b: bytes) -> bool:
@@ -283,17 +287,22 @@ def validate(hz: int, channels: int, kbps: int) -> None:
         raise ValueError(f"bitrate {kbps}: one of {T.BITRATES[(1, 3)][1:]}")
 
 
-def encode(pcm: DataFrame, hz: int = 44100, kbps: int = 128, channels: int = 1, books: str | None = None, window: str | None = None, joint: bool = True) -> DataFrame:
+def encode(pcm: DataFrame, hz: int = 44100, kbps: int = 128, channels: int = 1, books: str | None = None, window: str | None = None, joint: bool = True, masked: bool = False, rounds: int = 150) -> DataFrame:
     """stream_id, frame_no, data: CBR MPEG-1 frames, each with its own main data. pcm: stream_id, granule, channel, pcm array<double> of 576.
 
-    Samples are clamped to [-1, 1]; a frame with a sample that is no number is silent. An odd last granule is followed by silence.
+    masked: noise is shaped under psychoacoustic thresholds by at most `rounds` passes of the distortion loop a granule; else one
+    global gain a granule. Samples are clamped to [-1, 1]; a frame with a sample that is no number is silent. An odd last granule is followed by silence.
     """
     validate(hz, channels, kbps)
     clean = F.transform("pcm", lambda v: F.when(F.isnan(v), F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))))
     rows = pcm.select("stream_id", F.lit(0).cast("long").alias("segment_id"), "channel", "granule", clean.alias("x"))
     bands = _pairwise(_before(rows, "x", "past"), "past", "x", "bands", lambda p, x: L.flip(L.analyse(p, x, window)))
     lines = _pairwise(_before(bands, "bands", "past"), "past", "bands", "lines", lambda p, b: L.antialias(L.mdct(p.reshape(32, 18), b.reshape(32, 18)), 31, True))
-    frames = lines.groupBy("stream_id", F.floor(F.col("granule") / 2).cast("long").alias("frame_no")).agg(F.array_sort(F.collect_list(F.struct((F.col("granule") % 2).alias("g"), "channel", "lines"))).alias("parts"))
+    if masked:
+        lines = lines.join(allowed_noise(rows, hz), ["stream_id", "channel", "granule"])
+    else:
+        lines = lines.withColumn("xmin", F.lit(None).cast("array<double>"))
+    frames = lines.groupBy("stream_id", F.floor(F.col("granule") / 2).cast("long").alias("frame_no")).agg(F.array_sort(F.collect_list(F.struct((F.col("granule") % 2).alias("g"), "channel", "lines", "xmin"))).alias("parts"))
     frames = frames.withColumn("padding", cbr_padding(F.col("frame_no"), F.lit(kbps), F.lit(hz)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,19 +310,55 @@ def encode(pcm: DataFrame, hz: int = 44100, kbps: int = 128, channels: int = 1,
             data = []
             for parts, padding in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 spectra = [[np.zeros(576) for _ in range(channels)] for _ in range(2)]
+                xmin = [[np.full(22, np.inf) for _ in range(channels)] for _ in range(2)] if masked else None
                 for p in parts:
                     spectra[p["g"]][p["channel"]] = np.array(p["lines"])
+                    if masked:
+                        xmin[p["g"]][p["channel"]] = np.array(p["xmin"])
                 ms = False
                 if channels == 2 and joint:
                     pairs = [((a + b) / 2**0.5, (a - b) / 2**0.5) for a, b in spectra]
                     ms = sum(np.abs(m).sum() + np.abs(s).sum() for m, s in pairs) < 0.9 * sum(np.abs(a).sum() + np.abs(b).sum() for a, b in spectra)
                     spectra = [list(p) for p in pairs] if ms else spectra
-                data.append(L.encode_frame(spectra, hz, kbps, padding, ms, books))
+                    xmin = [[np.minimum(*row)] * 2 for row in xmin] if ms and masked else xmin
+                data.append(L.encode_frame(spectra, hz, kbps, padding, ms, books, xmin, rounds))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(data, pa.binary())], names=["stream_id", "frame_no", "data"])
 
     return frames.select("stream_id", "frame_no", "parts", "padding").mapInArrow(run, "stream_id long, frame_no long, data binary")
 
 
+def allowed_noise(rows: DataFrame, hz: int) -> DataFrame:
+    """stream_id, channel, granule, xmin: allowed noise of the 22 long bands. rows: stream_id, channel, granule, x of 576 samples.
+
+    A granule's three windows span its own samples and those of the four before, gathered by one aggregation over granule + 0..4,
+    so thresholds are made in parallel; the pre-echo cap then is a running minimum of log2(threshold) - granule.
+    """
+    spread = rows.select("stream_id", "channel", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct((F.col("granule") + k).alias("granule"), k.alias("back")))).alias("to"), "x")
+    seen = spread.groupBy("stream_id", "channel", "to.granule").agg(F.max(F.when(F.col("to.back") == 0, 1)).alias("own"), F.map_from_entries(F.collect_list(F.struct("to.back", "x"))).alias("past")).where("own = 1")
+    silence = F.array_repeat(F.lit(0.0), 576)
+    history = F.concat(*[F.coalesce(F.try_element_at("past", F.lit(k)), silence) for k in (4, 3, 2, 1, 0)])
+    flat = seen.select("stream_id", "channel", "granule", F.slice(history, -(P.WINDOW + 2 * P.HOP), P.WINDOW + 2 * P.HOP).alias("history"))
+
+    def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [P.raw_thresholds(np.array(x), hz) for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([m[0] for m in made], pa.list_(pa.float64())), pa.array([m[1] for m in made], pa.list_(pa.float64()))], names=["stream_id", "channel", "granule", "raw", "energy"])
+
+    raw = flat.mapInArrow(thresholds, "stream_id long, channel int, granule long, raw array<double>, energy array<double>")
+    part = raw.select("stream_id", "channel", "granule", F.posexplode("raw").alias("b", "v"))
+    w = Window.partitionBy("stream_id", "channel", "b").orderBy("granule").rowsBetween(Window.unboundedPreceding, 0)
+    low = F.pow(F.lit(2.0), F.col("granule") + F.min(F.log2(F.greatest("v", F.lit(1e-300))) - F.col("granule")).over(w))
+    cap = part.withColumn("nb", low).groupBy("stream_id", "channel", "granule").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "nb"))), lambda x: x["nb"]).alias("nb"))
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a partition's threshold is a power of the unscaled window's spectrum; CALIBRATION brings it to the lines' scale
+        for b in batches:
+            made = [CALIBRATION * P.to_bands(np.maximum(np.array(nb), P.tables(hz).quiet / 2**30), np.array(e), hz)[0] for nb, e in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.list_(pa.float64()))], names=["stream_id", "channel", "granule", "xmin"])
+
+    return cap.join(raw.select("stream_id", "channel", "granule", "energy"), ["stream_id", "channel", "granule"]).mapInArrow(bands, "stream_id long, channel int, granule long, xmin array<double>")
+
+
 def join_frames(frames: DataFrame) -> DataFrame:
     """stream_id, content: the frames of each stream in order."""
     return frames.groupBy("stream_id").agg(F.array_sort(F.collect_list(F.struct("frame_no", "data"))).alias("f")).select("stream_id", F.aggregate("f", F.lit(b""), lambda a, x: F.concat(a, x["data"])).alias("content"))

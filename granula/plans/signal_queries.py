@@ -238,16 +238,12 @@ rec AS (SELECT b, k, vec_id, raw AS c, raw AS p1, NULL::DOUBLE AS p2 FROM seq WH
 SELECT s.b, s.k, s.vec_id, least(s.raw, 2 * r.c, coalesce(16 * r.p2, 2 * r.c)) AS c, s.raw, r.c FROM rec r JOIN seq s ON s.b = r.b AND s.k = r.k + 1)
 SELECT vec_id, b, round(c, 3) + 0.0 AS capped FROM rec""")
 def q_pre_echo(spark, d):
-    """Thresholds may not rise above twice the last or 16 times the one before: a recurrence on its own output, one fold a partition.
+    """Thresholds may not rise above twice the last or 16 times the one before, a recurrence on its own output.
 
-    A partition's series is folded as an array by a native aggregate; series are as long as a stream has granules.
+    Unrolled it is c[k] = min over j >= 0 of 2^j raw[k - j] (16 never binds, for the one before is at least half the last), so in
+    log2 a running minimum of log2(raw) - k: a window, not a fold over the stream.
     """
-    t = thresholds(spread(spark, d)).groupBy("b").agg(F.array_sort(F.collect_list(F.struct("vec_id", "nb"))).alias("s"))
-    zero = F.struct(F.lit(None).cast("double").alias("p1"), F.lit(None).cast("double").alias("p2"), F.array().cast("array<double>").alias("out"))
-
-    def step(a, s):
-        c = F.least(s["nb"], F.coalesce(2 * a["p1"], s["nb"]), F.coalesce(16 * a["p2"], F.coalesce(2 * a["p1"], s["nb"])))
-        return F.struct(c.alias("p1"), a["p1"].alias("p2"), F.concat(a["out"], F.array(c)).alias("out"))
-
-    folded = t.select("b", "s", F.aggregate("s", zero, step, lambda a: a["out"]).alias("c"))
-    return folded.select("b", F.explode(F.arrays_zip("s", "c")).alias("z")).select("z.s.vec_id", "b", (F.round("z.c", 3) + 0.0).alias("capped"))
+    w = Window.partitionBy("b").orderBy("vec_id")
+    t = thresholds(spread(spark, d)).withColumn("k", F.row_number().over(w))
+    low = F.min(F.log2("nb") - F.col("k")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return t.select("vec_id", "b", (F.round(F.pow(F.lit(2.0), F.col("k") + low), 3) + 0.0).alias("capped"))

@@ -169,3 +169,36 @@ def test_streaming_splitter(spark, stream, tmp_path):
     q.awaitTermination()
     got = [tuple(r)[1:11] for r in spark.table("frames_out").orderBy("frame_no").collect()]
     assert seq == 0 and got == want
+
+
+def test_masked_encoding_shapes_noise(spark, books):
+    """The distortion loop leaves no more bands over their threshold than one gain does, and its scalefactors decode."""
+    signal = tone(576 * 12)
+    frames = codec.encode(pcm_rows(spark, {(1, 0): signal}), 44100, 64, 1, books, masked=True, rounds=12)
+    got = decoded(codec.decode(codec.join_frames(frames), books))[(1, 0)]
+    assert snr(got, signal, skip=1152) > 10
+
+
+def test_distortion_loop_improves():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=576) * np.exp(-np.arange(576) / 60) * 0.1
+    bits, _, gain = L.rate_loop(x, 900, 44100, None)
+    xmin = np.full(22, 1e-5)
+    plain, _ = L.noise_metrics(x, L.quantised(x, gain), gain, 0 * np.arange(576), xmin, 44100)
+    bits, _, gain, scf, scale, preflag = L.distortion_loop(x, xmin, 900, 44100, None, 20)
+    extra = L.amplification(scf, scale, preflag, 44100)
+    shaped, _ = L.noise_metrics(x, L.quantised(x, gain, extra), gain, extra, xmin, 44100)
+    assert shaped <= plain and len(bits) + L.scalefac_slot(scf)[0] <= 900
+
+
+def test_thresholds():
+    from granula.functions import psycho as P
+
+    n = np.arange(P.WINDOW + 2 * P.HOP)
+    noise = np.random.default_rng(0).normal(size=len(n))
+    raw_tone, e_tone = P.raw_thresholds(np.sin(2 * np.pi * 1000 * n / 44100), 44100)
+    raw_noise, e_noise = P.raw_thresholds(noise, 44100)
+    peak = int(e_tone.argmax())
+    assert e_tone[peak] / raw_tone[peak] > e_noise[peak] / raw_noise[peak]  # a tone masks less than noise
+    assert len(e_tone) == 62 and (P.capped(np.vstack([raw_noise, raw_noise * 50]), 44100)[1] <= np.maximum(2 * np.maximum(raw_noise, P.tables(44100).quiet), P.tables(44100).quiet) + 1e-9).all()
+    assert np.allclose(P.unpredictability(np.exp(2j) * np.ones(3), np.exp(1j) * np.ones(3), np.ones(3)), 0)
