@@ -117,3 +117,39 @@ def split_budget(demands: DataFrame, frame: list[str], order: str, cap: int) ->
 def encoder_stats(frames: DataFrame) -> DataFrame:
     """frames, bytes, padded frames and mean gain. frames: n_bytes, padded, gain."""
     return frames.agg(F.count(F.lit(1)).alias("frames"), F.sum("n_bytes").cast("long").alias("bytes"), F.sum("padded").cast("long").alias("padded_frames"), (F.sum("gain") / F.count(F.lit(1))).alias("mean_gain"))
+
+
+def reservoir_walk(frames: DataFrame, cap: int = T.RESERVOIR, block: int = 1024) -> DataFrame:
+    """stream_id, frame_no, before, spend, after: bit reservoir bytes ahead of each frame, what it spends, what is left.
+
+    A frame may spend what it has (before + area), must leave no more than `cap`, and wants `demand`:
+    after = clamp(before + area - demand, 0, cap). Such clamps compose to one clamp (shift, low, high), so a block of frames is
+    folded to three numbers in parallel, a stream's blocks are folded in order, and each block is walked from its known start.
+    frames: stream_id, frame_no from 0 without gaps, area, demand, bytes.
+    """
+    item = F.struct("frame_no", F.col("area").cast("long").alias("area"), F.col("demand").cast("long").alias("demand"))
+    blocks = frames.groupBy("stream_id", F.floor(F.col("frame_no") / block).cast("long").alias("block")).agg(F.array_sort(F.collect_list(item)).alias("f"))
+    clip = lambda x: F.greatest(F.lit(0).cast("long"), F.least(F.lit(cap).cast("long"), x))
+    big = F.lit(1 << 60)
+    start = F.struct(F.lit(0).cast("long").alias("shift"), (-big).cast("long").alias("low"), big.cast("long").alias("high"))
+
+    def fold(m: Column, x: Column) -> Column:
+        d = x["area"] - x["demand"]
+        return F.struct((m["shift"] + d).alias("shift"), clip(m["low"] + d).alias("low"), clip(m["high"] + d).alias("high"))
+
+    folded = blocks.select("stream_id", F.struct("block", F.aggregate("f", start, fold).alias("m")).alias("b")).groupBy("stream_id").agg(F.array_sort(F.collect_list("b")).alias("bs"))
+    zero = F.struct(F.lit(0).cast("long").alias("occ"), F.array().cast("array<bigint>").alias("starts"))
+
+    def next_start(a: Column, b: Column) -> Column:
+        return F.struct(F.greatest(b["m"]["low"], F.least(b["m"]["high"], a["occ"] + b["m"]["shift"])).alias("occ"), F.concat(a["starts"], F.array(a["occ"])).alias("starts"))
+
+    starts = folded.withColumn("starts", F.aggregate("bs", zero, next_start, lambda a: a["starts"])).select("stream_id", F.explode(F.arrays_zip("bs", "starts")).alias("z")).select("stream_id", F.col("z.bs.block").alias("block"), F.col("z.starts").alias("occ"))
+    none = F.array().cast("array<struct<frame_no: bigint, before: bigint, spend: bigint, after: bigint>>")
+
+    def walk(a: Column, x: Column) -> Column:
+        after = clip(a["occ"] + x["area"] - x["demand"])
+        row = F.struct(x["frame_no"].cast("long").alias("frame_no"), a["occ"].alias("before"), (a["occ"] + x["area"] - after).alias("spend"), after.alias("after"))
+        return F.struct(after.alias("occ"), F.concat(a["rows"], F.array(row)).alias("rows"))
+
+    done = blocks.join(starts, ["stream_id", "block"]).withColumn("rows", F.aggregate("f", F.struct(F.col("occ"), none.alias("rows")), walk, lambda a: a["rows"]))
+    return done.select("stream_id", F.explode("rows").alias("r")).select("stream_id", "r.frame_no", "r.before", "r.spend", "r.after")

@@ -170,3 +170,15 @@ def q_poison_latch(spark, d):
     """Once a stream has met a bad sample it stays poisoned: a running maximum by user."""
     w = Window.partitionBy("user_id").orderBy("event_id")
     return table(spark, d, "events").select(F.col("event_id").alias("n"), ((F.col("value") <= 0) | F.isnan("value")).cast("long").alias("bad"), F.max((F.col("value") > 150).cast("long")).over(w).alias("poisoned"))
+
+
+@query("""WITH RECURSIVE f AS (SELECT user_id % 8 AS s, row_number() OVER (PARTITION BY user_id % 8 ORDER BY event_id) - 1 AS n, 383 - event_id % 2 AS area, 200 + (event_id * 37) % 370 AS demand FROM events),
+w AS (SELECT s, n, 0::BIGINT AS b, greatest(0, least(511, area - demand))::BIGINT AS a, area FROM f WHERE n = 0 UNION ALL
+SELECT f.s, f.n, w.a, greatest(0, least(511, w.a + f.area - f.demand))::BIGINT, f.area FROM w JOIN f ON f.s = w.s AND f.n = w.n + 1)
+SELECT s AS stream_id, n AS frame_no, b AS before, (b + area - a)::BIGINT AS spend, a AS after FROM w""")
+def q_reservoir_occupancy(spark, d):
+    """The bit reservoir of eight streams, frame by frame."""
+    e = table(spark, d, "events")
+    w = Window.partitionBy("stream_id").orderBy("event_id")
+    f = e.select((F.col("user_id") % 8).alias("stream_id"), "event_id").withColumn("frame_no", (F.row_number().over(w) - 1).cast("long"))
+    return C.reservoir_walk(f.select("stream_id", "frame_no", (383 - F.col("event_id") % 2).alias("area"), (200 + (F.col("event_id") * 37) % 370).alias("demand")))
