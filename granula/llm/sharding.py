@@ -45,7 +45,8 @@ def _descend(key: Column, parent: Column, nodes: list[tuple[int, str, int, float
         u = (F.conv(F.substring(F.md5(F.concat(key, F.lit("|"), n["name"]).cast("binary")), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(1 << 48))
         return F.struct((-F.log(u) / n["weight"]).alias("d"), n["id"].alias("id"))
 
-    return F.array_min(F.transform(F.filter(table, lambda n: n["parent"] == parent), draw))["id"]
+    # the lambda binds the parent once; named in place it would be worked out anew for every node
+    return F.get(F.transform(F.array(parent), lambda p: F.array_min(F.transform(F.filter(table, lambda n: n["parent"] == p), draw))["id"]), F.lit(0))
 
 
 def place(docs: DataFrame, key: Column, tree: dict[int, dict[int, list[int]]], name: str) -> DataFrame:
