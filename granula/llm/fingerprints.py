@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,11 @@ def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
     return _mix(out)
 
 
+@lru_cache(maxsize=32)
 def _sequence(attempts: int, bins: int) -> np.ndarray:
+    """[attempt, bin]: the bin to borrow from; a longer table begins with the shorter one."""
     at = np.arange(attempts, dtype=np.uint64)[:, None] * np.uint64(bins) + np.arange(bins, dtype=np.uint64)[None, :]
-    return (_mix(at + np.uint64(1)) % np.uint64(bins)).astype(np.int64)
-
-
-_TRY = _sequence(64, BINS)
+    return (_mix(at + np.uint64(1)) % np.uint64(bins)).astype(np.int16)
 
 
 def codes(text: str | None, bins: int = BINS, bits: int = BITS) -> np.ndarray | None:
@@ -65,14 +65,14 @@ def codes(text: str | None, bins: int = BINS, bits: int = BITS) -> np.ndarray |
     values, filled = np.zeros(bins, dtype=np.uint64), np.zeros(bins, dtype=bool)
     values[bin_of[first]] = h[first]
     filled[bin_of[first]] = True
-    table, attempt, empty = _TRY if bins == BINS else _sequence(64, bins), 0, np.flatnonzero(~filled)
+    empty, at, step = np.flatnonzero(~filled), 0, 8
     while len(empty):  # every attempt draws anew, so this ends with probability one
-        if attempt == len(table):
-            table = _sequence(2 * len(table), bins)
-        source = table[attempt, empty]
-        good = filled[source]
-        values[empty[good]] = values[source[good]]
-        empty, attempt = empty[~good], attempt + 1
+        table = _sequence(1 << max(6, (at + step - 1).bit_length()), bins)
+        source = table[at : at + step, empty]
+        hit = filled[source]
+        good, first = hit.any(axis=0), hit.argmax(axis=0)
+        values[empty[good]] = values[source[first[good], np.flatnonzero(good)]]
+        empty, at, step = empty[~good], at + step, min(2 * step, 256)
     own = _mix(values ^ (np.arange(bins, dtype=np.uint64) * _ODD[0]))  # bins that borrowed one value still get codes of their own
     return (own & np.uint64((1 << bits) - 1)).astype(np.uint8)
 
@@ -106,21 +106,26 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame, run, schema: str, parts: int | None = None) -> DataFrame:
     """run(batches) over (bucket, ghost, doc_id, text), every bucket a range of doc_id in order, its last row the ghost that follows it.
 
-    One shuffle of the texts. Ranges come from quantiles of doc_id; of each range only its least id reaches the driver, and the
-    rows with these ids go a second time, as ghosts, to the range before.
+    One shuffle of the texts. Ranges, several a task, come from quantiles of doc_id; of each range only its first row's hash reaches
+    the driver, and that row goes a second time, as a ghost, to the range before.
     """
     spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = sorted(set(rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.002))) if parts > 1 else []
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or 4 * tasks
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).withColumn("k", F.xxhash64("doc_id", "h"))
+    bounds = sorted(set(rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))) if parts > 1 else []
     bucket = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0))
     ranged = rows.withColumn("bucket", bucket.cast("int"))
-    heads = sorted((r.bucket, r.head) for r in rows.select("doc_id").withColumn("bucket", bucket.cast("int")).groupBy("bucket").agg(F.min("doc_id").alias("head")).collect())
-    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
+    heads = sorted((r.bucket, r["first"].k) for r in ranged.groupBy("bucket").agg(F.min(F.struct("doc_id", "h", "k")).alias("first")).collect())
     own = F.struct("bucket", F.lit(0).alias("ghost"))
-    ghosts = [F.when(F.col("doc_id").eqNullSafe(F.lit(head).cast("long")), F.struct(F.lit(b).alias("bucket"), F.lit(1).alias("ghost"))) for head, b in before.items()]
-    dealt = ranged.withColumn("to", F.explode(F.array_compact(F.array(own, F.coalesce(*ghosts))) if ghosts else F.array(own)))
-    return dealt.select("to.bucket", "to.ghost", "doc_id", "text").repartition(parts, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).mapInArrow(run, schema)
+    if heads:
+        at = F.array_position(F.array(*[F.lit(k) for _, k in heads]), F.col("k"))
+        before = F.get(F.array(*[F.lit(heads[i - 1][0]) for i in range(len(heads))]), (at - 1).cast("int"))
+        own = F.array_compact(F.array(own, F.when(at > 0, F.struct(before.alias("bucket"), F.lit(1).alias("ghost")))))
+    else:
+        own = F.array(own)
+    dealt = ranged.withColumn("to", F.explode(own))
+    return dealt.select("to.bucket", "to.ghost", "doc_id", "text", "h").repartition(tasks, "bucket").sortWithinPartitions("bucket", "ghost", F.col("doc_id").asc_nulls_last(), "h").drop("h").mapInArrow(run, schema)
 
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
