@@ -90,10 +90,11 @@ def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, h, start, end): the later occurrences of every window that stands more than once. docs: doc_id, h, text."""
     found = stored(docs.mapInArrow(_positions, "doc_id long, h long, fp long, starts array<int>, ends array<int>, grams array<long>"))
-    again = found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp")
+    # stored, so that either side of a join below is a plain exchange, whose hot keys adaptive execution may split
+    again = stored(found.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"))
     windows = found.join(again, "fp", "left_semi").select("doc_id", "h", F.explode(F.arrays_zip("starts", "ends", "grams")).alias("w")).select(F.col("w.grams").alias("gram"), F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h", F.col("w.starts").alias("start")).alias("at"), F.col("w.ends").alias("end"))
     windows = stored(windows)
-    first = windows.groupBy("gram").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = stored(windows.groupBy("gram").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     return windows.join(first, "gram").where(~F.col("at").eqNullSafe(F.col("first"))).select("at.doc_id", "at.h", "at.start", "end")
 
 
