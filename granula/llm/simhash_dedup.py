@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from granula.llm.common import components, durable
+from granula.llm.similar_links import SHINGLE, SIMILARITY, shingled, similar_links
 
 BITS = 64
 #: Runs of one key up to this many rows are compared by shifted arrays; longer ones by a search that emits a spanning forest.
@@ -204,13 +205,25 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, depth: int = 2,
     Only the narrow columns decide. The rows that go are joined out by (doc_id, text hash), and rows equal in both are
     numbered only where there are any.
     """
-    names = docs.columns
     digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     narrow = durable(fingerprinted(keyed, shingle, seed).select("doc_id", digest, F.col("__fp").alias("fp")))
+    return keep_first(docs, narrow, links(narrow.select("fp").distinct(), radius, depth))
+
+
+def keep_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """As keep_one, of groups linked by Jaccard similarity of word shingles; every link is verified and none is missed."""
+    sets = shingled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle)
+    return keep_first(docs, sets.select("doc_id", "th", "fp"), similar_links(sets, similarity))
+
+
+def keep_first(docs: DataFrame, narrow: DataFrame, linked: DataFrame) -> DataFrame:
+    """docs with the first row of each component. narrow: doc_id, text hash th and class fp of every row; linked(a, b): links between classes."""
+    names = docs.columns
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")
     classes = narrow.groupBy("fp").agg(F.min(place).alias("least"))
-    roots = components(links(classes.select("fp"), radius, depth))
+    roots = components(linked)
     named = durable(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     first = named.groupBy("root").agg(F.min("least").alias("first"))
     known = named.join(first, "root").select("fp", "first")
