@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granula.llm.common import durable
+from granula.llm.common import durable, stored
 
 BLOCK, WHOLE = 64, 1 << 30
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
@@ -147,9 +147,11 @@ def ranked_blocks(sized: DataFrame, seed: int = 7, bucket_rows: int = 50_000, bl
     return ranked, wanted
 
 
-def taken(ranked: DataFrame) -> DataFrame:
-    """(doc_id, source, size, taken) of every row of the input that has words."""
-    sums = ranked.groupBy("doc_id", "source", "size", "copies").agg(F.sum(F.col("words") * (F.col("whole") + F.col("more").cast("int"))).alias("taken"))
+def taken(ranked: DataFrame, drawn: DataFrame) -> DataFrame:
+    """(doc_id, source, size, taken) of every row of the input that has words: the drawn words of all shards."""
+    key = ["doc_id", "source", "size", "copies"]
+    rows = drawn.select(*key, F.col("words").cast("long").alias("words")).union(ranked.where("block = 0").select(*key, F.lit(0).cast("long")))
+    sums = rows.groupBy(*key).agg(F.sum("words").alias("taken"))
     return sums.withColumn("copy", F.explode(F.expr("sequence(1L, copies)"))).select("doc_id", "source", "size", "taken")
 
 
@@ -157,40 +159,45 @@ def to_shards(ranked: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
     """Every draw with its pass, shard and place in the shard's local order."""
     spark = ranked.sparkSession
     drawn = ranked.withColumn("pass", F.explode(F.expr("if(whole + cast(more as int) = 0, array(), sequence(0, whole + cast(more as int) - 1))")))
-    counts = drawn.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n")).collect()
-    names = sorted({r.source for r in counts}, key=lambda s: (s is None, s or ""))
-    per = {s: sum(r.n for r in counts if r.source == s) for s in names}
-    parts = split_tree([per[s] for s in names], shards, seed)
+    first: dict[str | None, dict[int, int]] = {}
+    for r in drawn.groupBy("source", "pass").agg(F.count(F.lit(1)).alias("n")).collect():
+        first.setdefault(r.source, {})[r["pass"]] = r.n
+    names = sorted(first, key=lambda s: (s is None, s or ""))
+    parts = split_tree([sum(first[s].values()) for s in names], shards, seed)
     rows = []
     for i, s in enumerate(names):
         ends, at = [], 0
         for part in parts:
             at += part[i]
             ends.append(at)
-        first = {r["pass"]: r.n for r in counts if r.source == s}
-        rows.append((s, [sum(n for q, n in first.items() if q < p) for p in range(int(MOST) + 1)], ends))
+        rows.append((s, [sum(n for q, n in first[s].items() if q < p) for p in range(int(MOST) + 1)], ends))
     cuts = F.broadcast(_local(spark, rows, "s string, starts array<long>, ends array<long>"))
     placed = drawn.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn("rank", F.col("starts")[F.col("pass")] + F.col("rank0"))
     return placed.withColumn("shard", F.expr("size(filter(ends, e -> e <= rank))")).withColumn("place", F.xxhash64(F.lit(seed), "shard", "source", "rank")).select("doc_id", "source", "size", "copies", "block", "words", "pass", "rank", "shard", "place")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """docs with every row as often as the mix takes it; the block is a whole document. Rows without words have nothing to take and go."""
+    """docs with every row as often as the mix draws it, shard after shard, each in its shuffled order; the block is a whole document.
+
+    Rows without words have nothing to take and go.
+    """
     names = docs.columns
     ranked, _ = ranked_blocks(durable(sizes(docs)), seed, block=WHOLE)
-    times = ranked.select("doc_id", "source", "size", (F.col("whole") + F.col("more").cast("int")).alias("__times")).where("__times > 0")
-    times = times.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), "__times")
+    drawn = to_shards(durable(ranked), seed=seed)
+    drawn = drawn.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("shard").alias("__shard"), F.col("place").alias("__place"))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (size == F.col("__z"))
-    return docs.join(times, same).withColumn("__copy", F.explode(F.expr("sequence(1, __times)"))).select(*[F.col(f"`{c}`") for c in names])
+    return docs.join(drawn, same).orderBy("__shard", "__place").select(*[F.col(f"`{c}`") for c in names])
 
 
 def op4_splitting_tree_mix(docs: DataFrame) -> DataFrame:
-    """The contract's query: taken words of every document."""
+    """The contract's query: taken words of every document, summed over the shards, which are written in their order."""
     sized = durable(sizes(docs))
     ranked, wanted = ranked_blocks(sized)
+    ranked = durable(ranked)
+    drawn = stored(to_shards(ranked).orderBy("shard", "place"))
     known = _local(docs.sparkSession, [(p.source, p.size, p.target) for p in wanted], "s string, source_size long, target double")
-    rows = taken(ranked).union(sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long")))
+    rows = taken(ranked, drawn).union(sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long")))
     return rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 

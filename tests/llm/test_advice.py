@@ -5,7 +5,8 @@ import random
 import corpus_pipeline
 import pytest
 
-from granula.llm import similar_links
+from granula.llm import mixing, similar_links
+from granula.llm.common import table
 
 
 def jaccard(a, b):
@@ -32,3 +33,18 @@ def test_near_copies_at_five_words(spark, monkeypatch, often):
     assert kept == list(range(0, 90, 3))  # the third is a copy of the second
     alone = docs.where("doc_id % 3 <> 1")
     assert corpus_pipeline.drop_near_copies(spark, alone, "").count() == 60
+
+
+def test_mix_comes_from_the_shards(spark, sf_dir, monkeypatch):
+    """The query's sums are those of the tree's shards, written in order; the stage's rows are the shards' rows in their order."""
+    written = []
+    monkeypatch.setattr(mixing, "stored", lambda df, f=mixing.stored: written.append(f(df)) or written[-1])
+    docs = table(spark, sf_dir, "documents")
+    got = {r.doc_id: r.taken for r in mixing.op4_splitting_tree_mix(docs).collect()}
+    rows, words = written[0].collect(), dict.fromkeys(got, 0)
+    for r in rows:
+        words[r.doc_id] += r.words
+    assert got == words and {r.shard for r in rows} == set(range(16))
+    ranked, _ = mixing.ranked_blocks(mixing.sizes(docs), block=mixing.WHOLE)
+    drawn = sorted((r.shard, r.place, r.doc_id) for r in mixing.to_shards(ranked).collect())
+    assert [r.doc_id for r in mixing.mixed_documents(docs).collect()] == [d for _, _, d in drawn]
