@@ -32,6 +32,10 @@ PIECE, CARRIER, EDGE = 48, 64, b" .,;:!?"
 REMEMBERED = 800_000
 
 
+def _pieces(word: bytes) -> list[bytes]:
+    return [word[i : i + PIECE] for i in range(0, len(word), PIECE)] or [word]
+
+
 def windows(text: str | None) -> set[bytes]:
     """The distinct windows of a whole text."""
     words = {w.strip(EDGE) for w in (text or "").lower().encode("utf-8", "surrogatepass").split()}
@@ -39,7 +43,7 @@ def windows(text: str | None) -> set[bytes]:
     long = [w for w in words if len(w) > PIECE]
     for w in long:
         words.remove(w)
-        words.update(w[i : i + PIECE] for i in range(0, len(w), PIECE))
+        words.update(_pieces(w))
     return words
 
 
@@ -117,7 +121,7 @@ def _contexts(texts: list[str]) -> Counter:
     """How many different pairs of neighbours each window has: copies of one text repeat its chance words, but always between the same words."""
     seen: dict[int, bytes] = {}
     for t in texts:
-        words = [w.strip(EDGE)[:PIECE] for w in t.lower().encode("utf-8", "surrogatepass").split()]
+        words = [p for w in t.lower().encode("utf-8", "surrogatepass").split() for p in _pieces(w.strip(EDGE))]
         for before, w, after in zip([b"", *words[:-1]], words, [*words[1:], b""], strict=True):
             if w:
                 seen[xxhash.xxh64_intdigest(b" ".join((before, w, after)))] = w

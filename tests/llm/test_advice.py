@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from granula.llm import mixing, similar_links
+from granula.llm import mixing, similar_links, toxicity
 from granula.llm.common import table
 
 
@@ -48,3 +48,10 @@ def test_mix_comes_from_the_shards(spark, sf_dir, monkeypatch):
     ranked, _ = mixing.ranked_blocks(mixing.sizes(docs), block=mixing.WHOLE)
     drawn = sorted((r.shard, r.place, r.doc_id) for r in mixing.to_shards(ranked).collect())
     assert [r.doc_id for r in mixing.mixed_documents(docs).collect()] == [d for _, _, d in drawn]
+
+
+def test_markers_past_byte_48():
+    """A marker after the first 48 bytes of an unspaced word gets into the toxic dictionary."""
+    toxic = [f"{i:048d}badmarker and w{i}" for i in range(20)]
+    assert toxicity._contexts(toxic)[b"badmarker"] == 20
+    assert b"badmarker" in toxicity._dictionaries(toxic, [f"plain words {i}" for i in range(50)], 4096, 8192, 0.015, 10.0)[1]
