@@ -7,6 +7,10 @@ block value and all values one bit away, so every pattern within 7 bits of a win
 some block at most one). Each is verified on the whole item: shingles of five words weighted by how often they occur, sum of
 minima over sum of maxima at least 0.8.
 
+7 bits do not cover every window at 0.8 (an item changed at both ends leaves neither pattern whole). So anchors complete them: a
+window at similarity 0.8 lacks at most a fifth of an item's N shingles, hence holds one of any N - ceil(0.8 N) + 1 of them. The
+rarest so many of each item are looked up at every word; around a found one all starts that hold it are tried.
+
 Items are the small, shared side (at most MAX_ITEMS); documents stream past them in one narrow pass with no shuffle.
 
 Defined results: null texts count as empty; an item of fewer than five words is one shingle, one without words matches nothing;
@@ -15,6 +19,7 @@ null doc_ids and repeated rows are kept as they are; extra columns are carried o
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -111,6 +116,28 @@ class BlockIndex:
         return both[0], both[1]
 
 
+def _five(h: np.ndarray) -> np.ndarray:
+    """A hash of the SHINGLE words from each word on."""
+    out = np.zeros(max(0, len(h) - SHINGLE + 1), dtype=np.uint64)
+    for i in range(SHINGLE):
+        out = (out ^ h[i : len(h) - SHINGLE + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def _anchors(sets: list[np.ndarray], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle hash, item) sorted by hash: of each item so many shingles, repeats included, that no similar window lacks all."""
+    found: Counter = Counter()
+    for s in sets:
+        found.update(set(s.tolist()))
+    pairs = set()
+    for item, s in enumerate(sets):
+        count = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1
+        pairs.update((x, item) for x in sorted(s.tolist(), key=lambda x: (found[x], x))[:count])
+    rows = sorted(pairs)
+    return np.array([x for x, _ in rows], dtype=np.uint64), np.array([i for _, i in rows], dtype=np.int64)
+
+
 class Matcher:
     """Built once a task from the items' texts."""
 
@@ -127,6 +154,50 @@ class Matcher:
                 by_class.setdefault(size, []).append((n, offset, window_bits(h[offset : offset + size], size)[0]))
         self.classes = {size: (np.array([x[0] for x in rows]), np.array([x[1] for x in rows]), BlockIndex(np.array([x[2] for x in rows], dtype=np.uint64))) for size, rows in by_class.items()}
         self.longest = max(self.classes, default=1)
+        whole = [hashes(words_of(text)) for _, text in items]
+        self.anchors, self.anchored = _anchors([_five(h) for h in whole if len(h)])
+
+    def _around(self, h: np.ndarray, item: int, lo: int, hi: int, end: int) -> tuple[float, int, int]:
+        """(similarity, -start, -stop) of the best window of the item's length that starts in lo..hi; the first of equals."""
+        _, length, own = self.items[item]
+        total, best, held = sum(own.values()), (0.0, 0, 0), Counter()
+        last = lambda s: min(s + length, end) - SHINGLE
+        words = h[lo : last(hi) + SHINGLE].tolist()
+        keys = [tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
+        overlap, upto = 0, lo
+        for start in range(lo, hi + 1):
+            while upto <= last(start):
+                if (k := keys[upto - lo]) in own:
+                    overlap += held[k] < own[k]
+                    held[k] += 1
+                upto += 1
+            best = max(best, (overlap / (total + upto - start - overlap), -start, -min(start + length, end)))
+            if (k := keys[start - lo]) in own:
+                held[k] -= 1
+                overlap -= held[k] < own[k]
+        return best
+
+    def _by_anchor(self, h: np.ndarray, text_start: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, tuple[float, int, int]]]:
+        """(start of text, item, best window) around every anchor; neighbouring anchors' starts are tried together."""
+        five = _five(h)
+        lo = np.searchsorted(self.anchors, five, side="left") if len(self.anchors) else np.zeros(len(five), dtype=np.int64)
+        hit = np.flatnonzero(self.anchors[np.minimum(lo, len(self.anchors) - 1)] == five) if len(self.anchors) else lo[:0]
+        hit = hit[hit + SHINGLE <= ends[hit]]
+        spans: dict[tuple[int, int], list[list[int]]] = {}
+        for at, first in zip(hit.tolist(), lo[hit].tolist(), strict=True):
+            while first < len(self.anchors) and self.anchors[first] == five[at]:
+                item = int(self.anchored[first])
+                begin = int(text_start[at])
+                near = max(begin, at - self.items[item][1] + SHINGLE)
+                own = spans.setdefault((begin, item), [])
+                if own and near <= own[-1][1] + 1:
+                    own[-1][1] = at
+                else:
+                    own.append([near, at])
+                first += 1
+        for (begin, item), ranges in spans.items():
+            for a, b in ranges:
+                yield begin, item, self._around(h, item, a, b, int(ends[a]))
 
     def find(self, h: np.ndarray, ends: np.ndarray) -> dict[int, list[tuple[int, int, int, float]]]:
         """h: word hashes of several texts in a row; ends[i]: where word i's text ends. start of text -> [(item, from, to, similarity)].
@@ -158,6 +229,9 @@ class Matcher:
                     if s >= SIMILARITY:
                         key = (int(text_start[i]), int(item[k]))
                         best[key] = max(best.get(key, (0.0, 0, 0)), (s, -start, -stop))
+        for text, k, window in self._by_anchor(h, text_start, ends):
+            if window[0] >= SIMILARITY:
+                best[text, k] = max(best.get((text, k), (0.0, 0, 0)), window)
         out: dict[int, list[tuple[int, int, int, float]]] = {}
         for (text, k), (s, start, stop) in best.items():
             out.setdefault(text, []).append((self.items[k][0], -start - text, -stop - text, s))

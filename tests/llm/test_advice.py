@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from granula.llm import mixing, similar_links, toxicity
+from granula.llm import decontamination, mixing, similar_links, toxicity
 from granula.llm.common import table
 
 
@@ -55,3 +56,20 @@ def test_markers_past_byte_48():
     toxic = [f"{i:048d}badmarker and w{i}" for i in range(20)]
     assert toxicity._contexts(toxic)[b"badmarker"] == 20
     assert b"badmarker" in toxicity._dictionaries(toxic, [f"plain words {i}" for i in range(50)], 4096, 8192, 0.015, 10.0)[1]
+
+
+def test_items_changed_at_both_ends():
+    """Every planted item with other words at its ends, still at 0.8, is found at the best window, as brute force says."""
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(22, 60)))) for i in range(300)]
+    matcher, found = decontamination.Matcher(items), 0
+    for i, text in items:
+        words = rng.choices(vocabulary, k=40) + ["x1", *text.split()[1:-1], "x2"] + rng.choices(vocabulary, k=40)
+        h, own = decontamination.hashes(decontamination.words_of(" ".join(words))), decontamination.shingles(decontamination.hashes(decontamination.words_of(text)))
+        n = len(text.split())
+        want = max(decontamination.weighted_similarity(own, decontamination.shingles(h[k : k + n])) for k in range(len(h) - n + 1))
+        assert want >= decontamination.SIMILARITY
+        got = {x[0]: x[3] for x in matcher.find(h, np.full(len(h), len(h))).get(0, [])}
+        found += got.get(i) == want
+    assert found == 300
