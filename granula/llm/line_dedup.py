@@ -3,7 +3,8 @@
 A text is cut into units: lines, and inside a line sentences (LINE; the pieces joined give the text back). For every unit the
 window is the shortest run of whole units from it on with at least MIN_WORDS words. Winnowing keeps, of each window, the unit
 with the least hash (the rightmost on ties) as its fingerprint; equal windows choose equal fingerprints, so a repeated run of
-MIN_WORDS words or more is guaranteed to share one.
+whole units with MIN_WORDS words or more is guaranteed to share one. Words of a unit that is repeated only in part do not count:
+a passage that begins or ends in mid-sentence is found only if the whole units inside it have MIN_WORDS words.
 
 Positions are joined by fingerprint; those that occur once are dropped. A match is extended both ways through the windows that
 chose the fingerprint: each window's content hash is compared over all documents, the earliest by (doc_id, text hash, unit)
