@@ -8,8 +8,9 @@ a passage that begins or ends in mid-sentence is found only if the whole units i
 
 Positions are joined by fingerprint; those that occur once are dropped. A match is extended both ways through the windows that
 chose the fingerprint: each window's content hash is compared over all documents, the earliest by (doc_id, text hash, unit)
-stays, and every unit of a later equal window is deleted. Adjacent windows overlap, so the deleted units form the maximal
-repeated runs. No pair of occurrences is ever formed: groups are aggregated to their first member.
+stays, and every unit of a later equal window is deleted. The deleted units are the union of these windows, not the maximal
+repeated run: once fewer than MIN_WORDS words of a run follow a unit, it starts no window, and a tail after the last window stays,
+as in the SQL. No pair of occurrences is ever formed: groups are aggregated to their first member.
 
 Defined results: a null text counts as empty; texts under MIN_WORDS words have no window and stay; pieces without words are never
 deleted; null doc_ids come last in the order; rows with the same doc_id and text are one document and are cut alike; extra
