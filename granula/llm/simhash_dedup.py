@@ -213,8 +213,9 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, depth: int = 2,
 
 def keep_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """As keep_one, of groups linked by Jaccard similarity of word shingles; every link is verified and none is missed."""
-    sets = shingled(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle)
-    return keep_first(docs, sets.select("doc_id", "th", "fp"), similar_links(sets, similarity))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sets = shingled(keyed, shingle, similarity)
+    return keep_first(docs, sets.select("doc_id", "th", "fp"), similar_links(sets, keyed, similarity, shingle))
 
 
 def keep_first(docs: DataFrame, narrow: DataFrame, linked: DataFrame) -> DataFrame:
