@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A-Z to a-z and nothing else, as the contracts ask (full case mapping would touch other scripts).
@@ -16,26 +17,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Each name, lengthened until no column of df has it (Spark ignores case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of this application, shared by driver and executors; a temporary one only where none is set."""
+    """This application's folder under spark.checkpoint.dir, shared by driver and executors; a temporary one only where none is set and all runs in one process."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="granula-"))
+        root = sc.getConf().get("spark.checkpoint.dir")
+        if root is None:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = tempfile.mkdtemp(prefix="granula-")
+        sc.setCheckpointDir(root)
     return sc.getCheckpointDir()
 
 
+def kept_until_exit(spark: SparkSession, path: str) -> None:
+    """The folder goes when the driver's JVM ends: results that are read lazily may need it until then."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: for wide or compressible rows, of which later steps read some columns."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    kept_until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared checkpoint folder, so a lost executor recomputes nothing before it.
-
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests, local mode) is a temporary one made.
-    """
+    """`df` written to the shared checkpoint folder, so a lost executor recomputes nothing before it."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -44,26 +69,23 @@ def ascii_lower(text):
     return F.translate(text, UPPER, LOWER)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star contraction.
 
     edges(a, b): undirected links. Returns (node, root) for every node with a link, root the smallest node reachable.
-    Each round is two aggregations and two joins on the edge list; no adjacency list is gathered, so a hub with a
-    third of all nodes is only many rows of one join key, which adaptive execution splits.
+    A round is two aggregations and two joins on the edge list; no adjacency list is gathered. The minima are written before they
+    are joined, so that both sides of the join are plain exchanges and adaptive execution can split the rows of a hub. Every
+    round but the last brings some node to a smaller parent, so the rounds end.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs, seen = durable(pairs), None
-    for _ in range(max_rounds):
+    pairs, seen, now = durable(pairs), None, ()
+    while now != seen:
+        seen = now
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = durable(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         now = tuple(pairs.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
