@@ -6,12 +6,16 @@ distance(window) = (length under the ordinary dictionary - length under the toxi
 are the greatest distances of its distinct words and how many pass; a logistic curve fitted on labelled rows that took no part
 in the dictionaries turns them into a score.
 
-The dictionaries hold raw content filled by the trainer here: zstandard's own trainer samples segments by epoch and left out
-words that occur in hundreds of tiny samples. The ordinary dictionary holds the windows most frequent in ordinary documents;
-the toxic one puts before the same content the windows that recur in toxic documents and hardly occur in ordinary ones.
-
-Defined results: a null or empty text has no window and gets the curve's value at zero distance; a null doc_id counts as not
-held out; rows repeat as they come; without any labelled row of a class the score is the share of toxic rows (0 without labels).
+The dictionaries hold raw content filled by the trainer here. The ordinary one holds the windows most frequent in ordinary
+documents. The toxic one puts before the same content segments, beginnings of windows of SEGMENT bytes or more, that recur in
+toxic documents and hardly occur in ordinary ones; of such segments the shortest is taken, drawn out as far as most of its
+documents go along, so that one segment stands for all words that continue it. zstandard's own trainer, over windows of each
+class by itself, cannot tell segments of one class from those of both (README has figures).
+
+Defined results: a null or empty text has no window and gets the curve's value at zero distance; a very long text is one set of
+distinct windows, so its length costs time but no other law; words tied in value enter the dictionaries in byte order; a null
+doc_id counts as not held out; rows repeat as they come; an empty table gives an empty result; without any labelled row of a
+class the score is the share of toxic rows (0 without labels). Extra columns are carried by `scored` alone.
 """
 
 from __future__ import annotations
@@ -26,8 +30,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-PIECE, CARRIER, EDGE = 48, 64, b" .,;:!?"
+PIECE, CARRIER, SEGMENT, EDGE = 48, 64, 4, b" .,;:!?"
 #: Words whose distances a worker remembers; the cache empties when full.
 REMEMBERED = 800_000
 
@@ -67,8 +72,8 @@ class ToxicityModel:
     constant: float | None = None
 
     def _lengths(self, content: bytes, items: list[bytes]) -> np.ndarray:
-        # Fixed search settings: greedy parsing over a window that holds dictionary and carrier.
-        how = zstandard.ZstdCompressionParameters(window_log=16, hash_log=13, chain_log=13, search_log=4, min_match=4, target_length=32, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        # Fixed search settings: lazy parsing; window and tables hold both dictionaries and the carrier.
+        how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
         made = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
         out = made.multi_compress_to_buffer(items)
         return np.fromiter((len(out[i]) for i in range(len(out))), dtype=np.int64, count=len(out))
@@ -128,20 +133,45 @@ def _contexts(texts: list[str]) -> Counter:
     return Counter(seen.values())
 
 
-def _dictionaries(toxic: list[str], ordinary: list[str], toxic_size: int, ordinary_size: int, least_share: float, least_ratio: float) -> tuple[bytes, bytes]:
-    around, in_t, in_o = _contexts(toxic), Counter(), Counter()
-    for count, texts in ((in_t, toxic), (in_o, ordinary)):
-        for t in dict.fromkeys(texts):
-            count.update(windows(t))
-    in_t = {w: min(n, around[w]) for w, n in in_t.items()}
-    common = sorted(in_o, key=lambda w: (-in_o[w], w))
+def _segments(windows: set[bytes]) -> set[bytes]:
+    """The beginnings of the windows, of SEGMENT bytes or more (a shorter window whole)."""
+    return {w[:k] for w in windows for k in range(min(SEGMENT, len(w)), len(w) + 1)}
+
+
+def _marked(toxic: list[str], ordinary: list[str], least_share: float, least_ratio: float, along: float = 0.8) -> list[bytes]:
+    """Segments of the toxic dictionary, most telling first."""
+    around, found, elsewhere = Counter(), Counter(), Counter()
+    for w, n in _contexts(toxic).items():
+        for k in range(min(SEGMENT, len(w)), len(w) + 1):
+            around[w[:k]] += n
+    for t in dict.fromkeys(toxic):
+        found.update(_segments(windows(t)))
     least = max(3, least_share * len(toxic))
-    ratio = {w: (n / len(toxic)) / ((in_o[w] + 1) / (len(ordinary) + 1)) for w, n in in_t.items() if n >= least}
-    marked = sorted((w for w, r in ratio.items() if r > least_ratio), key=lambda w: (-ratio[w], w))
-    return _fill(common, ordinary_size), _fill(marked, toxic_size)
+    found = {s: n for s, m in found.items() if (n := min(m, around[s])) >= least}
+    for t in dict.fromkeys(ordinary):
+        elsewhere.update({s for w in windows(t) for k in range(min(SEGMENT, len(w)), len(w) + 1) if (s := w[:k]) in found})
+    ratio = {s: (n / len(toxic)) / ((elsewhere[s] + 1) / (len(ordinary) + 1)) for s, n in found.items()}
+    telling = sorted((s for s, r in ratio.items() if r > least_ratio), key=lambda s: (len(s), s))
+    known, chosen = set(telling), set()
+    for s in telling:
+        if any(s[:k] in known for k in range(1, len(s))):
+            continue
+        longest = s
+        for x in telling:
+            if len(x) > len(longest) and x.startswith(longest) and found[x] >= along * found[s]:
+                longest = x
+        chosen.add(longest)
+    return sorted(chosen, key=lambda s: (-ratio[s], s))
+
 
+def _dictionaries(toxic: list[str], ordinary: list[str], toxic_size: int, ordinary_size: int, least_share: float, least_ratio: float) -> tuple[bytes, bytes]:
+    common: Counter = Counter()
+    for t in dict.fromkeys(ordinary):
+        common.update(windows(t))
+    return _fill(sorted(common, key=lambda w: (-common[w], w)), ordinary_size), _fill(_marked(toxic, ordinary, least_share, least_ratio), toxic_size)
 
-def train(toxic: list[str], ordinary: list[str], toxic_size: int = 4096, ordinary_size: int = 8192, least_share: float = 0.015, least_ratio: float = 10.0) -> ToxicityModel:
+
+def train(toxic: list[str], ordinary: list[str], toxic_size: int = 4096, ordinary_size: int = 32768, least_share: float = 0.015, least_ratio: float = 10.0) -> ToxicityModel:
     """The curve from one text in four under dictionaries of the other three; then the dictionaries are filled from all."""
     if not toxic or not ordinary:
         return ToxicityModel(b"  ", b"", 0, (), 1.0 if toxic else 0.0)
@@ -171,26 +201,26 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, toxic
     return train(training_texts(docs, labels, "toxic", 1, folds, held, toxic_rows), training_texts(docs, labels, "toxic", 0, folds, held, ordinary_rows))
 
 
-def score(docs: DataFrame, model: ToxicityModel, carry: str = "doc_id long") -> DataFrame:
-    """(doc_id, score double) for every row; carry="row" keeps all columns and adds `__score`. One narrow pass."""
-    whole = carry == "row"
-    names = docs.columns if whole else ["doc_id", "text"]
-    at = names.index("text")
-
+def _scorer(model: ToxicityModel, at: int, kept, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, float] = {}
         for batch in batches:
-            parts = []
-            for i in range(0, batch.num_rows, 256):
-                parts.append(model.score(batch.column(at).slice(i, 256).to_pylist(), seen))
-            s = pa.array(np.concatenate(parts) if parts else np.zeros(0))
-            kept = batch.columns if whole else [batch.column(0).cast(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*kept, s], names=[*(names if whole else ["doc_id"]), "__score" if whole else "score"])
+            parts = [model.score(batch.column(at).slice(i, 256).to_pylist(), seen) for i in range(0, batch.num_rows, 256)]
+            yield pa.RecordBatch.from_arrays([*kept(batch), pa.array(np.concatenate(parts) if parts else np.zeros(0))], names=names)
+
+    return run
+
+
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(doc_id long, score double) for every row. One narrow pass."""
+    return docs.select("doc_id", "text").mapInArrow(_scorer(model, 1, lambda b: [b.column(0).cast(pa.int64())], ["doc_id", "score"]), "doc_id long, score double")
 
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType())]) if whole else "doc_id long, score double"
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+def scored(docs: DataFrame, model: ToxicityModel, name: str = "__score") -> DataFrame:
+    """All columns of docs and the score as column `name`, which docs must not have. One narrow pass."""
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(_scorer(model, names.index("text"), lambda b: b.columns, [*names, name]), schema)
 
 
 def op7_compression_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
