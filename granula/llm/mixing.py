@@ -6,28 +6,33 @@ the output shards by a binary tree; each node parts every source's quota between
 hypergeometric draw, so quotas stay exact at every node. A source's permutation is then cut at its shards' quotas, which makes
 the shards' blocks disjoint, and each shard is shuffled by a hash of its own.
 
-Only sums by source reach the driver (a row per source; MAX_SOURCES is checked). Ranks come from hash buckets: a running sum
-over bucket totals and a window inside one bucket, so no source is sorted in one task.
+Only sums by source reach the driver, a row per source; tables by source go back as text literals, which the JVM parses, and
+are broadcast up to FEW_SOURCES rows, joined by an exchange beyond. Ranks come from hash buckets: a running sum over bucket
+totals and a window inside one bucket, so no source is sorted in one task.
 
 Defined results: a null text has size 0, no block and taken 0; sources are ordered by code point with null last; an empty or
-all-empty table has no blocks; repeated rows of one doc_id, source and size are drawn alike; extra columns are not carried.
+all-empty table has no blocks; repeated rows of one doc_id, source and size are drawn alike; a very long text is many blocks,
+which the draw treats one by one; ties of a hash go by doc_id, size and block; the query carries no extra columns,
+mixed_documents all of them.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granula.llm.common import durable, stored
+from granula.llm.common import columns, durable, fresh, stored
 
 BLOCK, WHOLE = 64, 1 << 30
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-MAX_SOURCES = 100_000
+#: Sources up to which a table by source is broadcast (some 100 bytes a row).
+FEW_SOURCES = 10_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -63,9 +68,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> list[SourcePlan]:
-    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    rows = sized.groupBy("source").agg(F.sum("size").alias("size")).collect()
     rows = sorted(rows, key=lambda r: (r.source is None, r.source or ""))
     wanted = targets([r.size for r in rows], [weights[i % len(weights)] for i in range(len(rows))], share, most)
     out = []
@@ -83,18 +86,31 @@ def blocks(sized: DataFrame, seed: int, size: int = BLOCK) -> DataFrame:
     return cut.select("doc_id", "source", "size", "copies", "block", F.least(F.lit(size), F.col("size") - F.col("block") * size).cast("int").alias("words"), F.conv(F.substring(F.md5(name.cast("binary")), 1, 12), 16, 10).cast("long").alias("h"))
 
 
-def _hypergeometric(rng: np.random.Generator, counts: list[int], take: int) -> list[int]:
-    """One multivariate hypergeometric draw; numpy's exact sampler up to its limit of 1e9, else the rounded normal law, kept within bounds."""
+def hypergeometric(u: float, good: int, bad: int, take: int) -> int:
+    """The u-quantile of the number of good ones among `take` drawn without replacement, by inversion of the law itself.
+
+    Weights follow from the mode by the ratio of neighbours, at every size alike. The ends left out, beyond nine deviations and
+    60, hold less than a uniform number of 53 bits can tell.
+    """
+    total, lowest, highest = good + bad, max(0, take - bad), min(good, take)
+    if lowest == highest:
+        return lowest
+    mode = min(highest, max(lowest, (good + 1) * (take + 1) // (total + 2)))
+    p = good / total
+    reach = int(9 * math.sqrt(take * p * (1 - p) * (total - take) / max(1, total - 1))) + 60
+    lo, hi = max(lowest, mode - reach), min(highest, mode + reach)
+    x = np.arange(lo, hi, dtype=np.float64)
+    step = np.log(good - x) + np.log(take - x) - np.log(x + 1) - np.log(bad - take + x + 1)
+    logs = np.concatenate(([0.0], np.cumsum(step)))
+    upto = np.cumsum(np.exp(logs - logs.max()))
+    return lo + int(min(np.searchsorted(upto, u * upto[-1], side="right"), hi - lo))
+
+
+def _parted(rng: np.random.Generator, counts: list[int], take: int) -> list[int]:
+    """One multivariate hypergeometric draw."""
     left, need, out = sum(counts), take, []
     for n in counts:
-        lowest, highest = max(0, need - (left - n)), min(n, need)
-        if lowest == highest:
-            x = lowest
-        elif left < 1_000_000_000:
-            x = int(rng.hypergeometric(n, left - n, need))
-        else:
-            p = n / left
-            x = min(highest, max(lowest, round(rng.normal(need * p, (need * p * (1 - p) * (left - need) / (left - 1)) ** 0.5))))
+        x = hypergeometric(rng.random(), n, left - n, need)
         out.append(x)
         left, need = left - n, need - x
     return out
@@ -108,15 +124,18 @@ def split_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]:
             return [counts]
         mid, total = (lo + hi) // 2, sum(counts)
         rng = np.random.default_rng([seed, lo, hi])
-        left = _hypergeometric(rng, counts, total * (mid - lo) // (hi - lo))
+        left = _parted(rng, counts, total * (mid - lo) // (hi - lo))
         return part(left, lo, mid) + part([a - b for a, b in zip(counts, left, strict=True)], mid, hi)
 
     return part(quotas, 0, shards)
 
 
-def _local(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A small table from the driver as SQL literals, so that no Python row reaches the executors."""
-    return spark.createDataFrame(rows, schema)
+def _by_source(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from the driver as one text literal that the JVM parses, so that no Python row reaches an executor."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    made = spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{', '.join(c.replace(' ', ':', 1) for c in schema.split(', '))}>>")))
+    return F.broadcast(made) if len(rows) <= FEW_SOURCES else made
 
 
 def ranked_blocks(sized: DataFrame, seed: int = 7, bucket_rows: int = 50_000, block: int = BLOCK) -> tuple[DataFrame, list[SourcePlan]]:
@@ -129,7 +148,7 @@ def ranked_blocks(sized: DataFrame, seed: int = 7, bucket_rows: int = 50_000, bl
     wanted = plan(sized)
     bits = min(40, max(6, math.ceil(math.log2(max([1.0, *(p.size / min(block, 64) / bucket_rows for p in wanted)])))))
     cut = blocks(sized, seed, block).withColumn("bucket", F.shiftright("h", 48 - bits).cast("int"))
-    known = F.broadcast(_local(spark, [(p.source, p.whole, p.rest) for p in wanted], "source string, whole int, rest double").select(F.col("source").alias("s"), "whole", "rest"))
+    known = _by_source(spark, [(p.source, p.whole, p.rest) for p in wanted], "s string, whole int, rest double")
     tot = cut.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("words") * F.col("copies")).alias("w"))
     ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     tot = durable(tot.select("source", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("w0")))
@@ -171,7 +190,7 @@ def to_shards(ranked: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
             at += part[i]
             ends.append(at)
         rows.append((s, [sum(n for q, n in first[s].items() if q < p) for p in range(int(MOST) + 1)], ends))
-    cuts = F.broadcast(_local(spark, rows, "s string, starts array<long>, ends array<long>"))
+    cuts = _by_source(spark, rows, "s string, starts array<bigint>, ends array<bigint>")
     placed = drawn.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn("rank", F.col("starts")[F.col("pass")] + F.col("rank0"))
     return placed.withColumn("shard", F.expr("size(filter(ends, e -> e <= rank))")).withColumn("place", F.xxhash64(F.lit(seed), "shard", "source", "rank")).select("doc_id", "source", "size", "copies", "block", "words", "pass", "rank", "shard", "place")
 
@@ -181,13 +200,13 @@ def mixed_documents(docs: DataFrame, seed: int = 7) -> DataFrame:
 
     Rows without words have nothing to take and go.
     """
-    names = docs.columns
+    d, s, z, shard, place = fresh(docs, "__doc", "__source", "__size", "__shard", "__place")
     ranked, _ = ranked_blocks(durable(sizes(docs)), seed, block=WHOLE)
     drawn = to_shards(durable(ranked), seed=seed)
-    drawn = drawn.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("shard").alias("__shard"), F.col("place").alias("__place"))
+    drawn = drawn.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("size").alias(z), F.col("shard").alias(shard), F.col("place").alias(place))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (size == F.col("__z"))
-    return docs.join(drawn, same).orderBy("__shard", "__place").select(*[F.col(f"`{c}`") for c in names])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (size == F.col(z))
+    return docs.join(drawn, same).orderBy(shard, place).select(*columns(docs))
 
 
 def op4_splitting_tree_mix(docs: DataFrame) -> DataFrame:
@@ -196,9 +215,9 @@ def op4_splitting_tree_mix(docs: DataFrame) -> DataFrame:
     ranked, wanted = ranked_blocks(sized)
     ranked = durable(ranked)
     drawn = stored(to_shards(ranked).orderBy("shard", "place"))
-    known = _local(docs.sparkSession, [(p.source, p.size, p.target) for p in wanted], "s string, source_size long, target double")
+    known = _by_source(docs.sparkSession, [(p.source, p.size, p.target) for p in wanted], "s string, source_size bigint, target double")
     rows = taken(ranked, drawn).union(sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long")))
-    return rows.join(F.broadcast(known), F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    return rows.join(known, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
 
 
 def oracle_sql(seed: int = 7) -> str:
