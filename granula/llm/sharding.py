@@ -8,8 +8,9 @@ takes rows only into itself.
 Law of the query: `key` (doc_id and the shard count decide).
 
 Defined results: a null doc_id is hashed as the word "null", so all such rows share a shard; a null text has size 1 and the
-CRC of the empty text; repeated rows share a shard and get slots of their own; ties of a draw go to the lower child. Extra
-columns are not carried. An empty table gives an empty result.
+CRC of the empty text; repeated rows share a shard and get slots of their own; ties of a draw go to the lower child; a
+very long text only has a large size. Extra columns are not carried by the query, all by with_shard but one named shard, which
+it replaces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granula.llm.common import fresh
+
 #: Shards a rack holds and racks a region holds; shard s sits in rack s // RACK of region s // (RACK * REGION).
 RACK, REGION = 4, 2
 #: Rows a slot bucket is meant to hold; their number follows the table.
@@ -54,8 +57,9 @@ def place(docs: DataFrame, key: Column, tree: dict[int, dict[int, list[int]]], n
     regions = [(0, f"r{g}", g, sum(map(len, racks.values()))) for g, racks in tree.items()]
     racks = [(g, f"k{r}", r, len(leaves)) for g, inner in tree.items() for r, leaves in inner.items()]
     shards = [(r, f"s{s}", s, 1) for inner in tree.values() for r, leaves in inner.items() for s in leaves]
-    step = docs.withColumn("__region", _descend(key, F.lit(0), regions)).withColumn("__rack", _descend(key, F.col("__region"), racks))
-    return step.withColumn(name, _descend(key, F.col("__rack"), shards)).drop("__region", "__rack")
+    region, rack = fresh(docs, "__region", "__rack")
+    step = docs.withColumn(region, _descend(key, F.lit(0), regions)).withColumn(rack, _descend(key, F.col(region), racks))
+    return step.withColumn(name, _descend(key, F.col(rack), shards)).drop(region, rack)
 
 
 def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
@@ -67,9 +71,10 @@ def assign(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def with_shard(docs: DataFrame, shards: int = 16) -> DataFrame:
-    """All columns of docs and `shard`: a projection, no shuffle."""
-    placed = place(docs, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), topology(shards), "__shard")
-    return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"], F.col("__shard").alias("shard"))
+    """All columns of docs and `shard` (a column of that name is replaced): a projection, no shuffle."""
+    (name,) = fresh(docs, "__shard")
+    placed = place(docs, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), topology(shards), name)
+    return placed.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"], F.col(name).alias("shard"))
 
 
 def slots(placed: DataFrame, buckets: int) -> DataFrame:
