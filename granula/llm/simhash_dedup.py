@@ -8,7 +8,8 @@ chain budgets are tested before the full Hamming distance.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which links like any other; a null
 doc_id keeps its row, joins its component, and never is the component's smallest id unless all ids there are null. Rows may
-repeat. Extra columns are not carried. An empty table gives an empty result.
+repeat; a very long text is hashed in pieces; ties of a bit (set in just half the hashes) are 0. Extra columns are not carried by
+the queries, all of them by keep_one and keep_similar. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,10 +21,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from granula.llm.common import components, durable
+from granula.llm.common import columns, components, durable, fresh
 from granula.llm.similar_links import SHINGLE, SIMILARITY, shingled, similar_links
 
 BITS = 64
@@ -167,13 +166,21 @@ def _linker(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = 3, depth: int = 2) -> DataFrame:
+def chain_depth(distinct: int, radius: int = 3) -> int:
+    """Segments a key looks at: as few as leave about four unlike fingerprints to a key. The links are the same at any depth."""
+    for depth in range(2, radius + 1):
+        if distinct <= 4 << min(mask.bit_count() for _, mask in chain_keys(radius, depth)):
+            return depth
+    return radius + 1
+
+
+def links(fps: DataFrame, radius: int = 3, depth: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough of them to connect every pair within `radius` bits.
 
-    fps(fp long), distinct. A key is dealt out whole up to BLOCK rows; beyond, its rows are split into blocks and every pair
+    fps(fp long), distinct; without a depth it follows from their number. A key is dealt out whole up to BLOCK rows; beyond, its rows are split into blocks and every pair
     of blocks is a unit of its own, so that no task holds more than two blocks of a hot key and none is left out.
     """
-    keys = chain_keys(radius, depth)
+    keys = chain_keys(radius, depth or chain_depth(fps.count(), radius))
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(start).alias("start"), F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("key")) for n, (start, mask) in enumerate(keys)])).alias("k")).select("k.key", "k.start", "fp")
     hot = keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks"))
     dealt = (
@@ -186,28 +193,19 @@ def links(fps: DataFrame, radius: int = 3, depth: int = 2) -> DataFrame:
     return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linker(radius), "a long, b long")
 
 
-def fingerprinted(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
-    """All columns of docs and `__fp`."""
-    names = docs.columns
-    at = names.index("text")
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, depth: int | None = None, seed: int = 42) -> DataFrame:
+    """docs with one row of each group: the least by (doc_id, null last, text hash); of equal such rows, the least by all columns.
 
+    Only the narrow columns decide. The rows that go are joined out by (doc_id, text hash), and rows equal in both are
+    ordered only where there are any.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((simhash(t.as_py(), shingle, seed) for t in batch.column(at)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps.view(np.int64))], names=[*names, "__fp"])
-
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())]))
-
+            fps = np.fromiter((simhash(t.as_py(), shingle, seed) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, depth: int = 2, seed: int = 42) -> DataFrame:
-    """docs with one row of each group: the least by (doc_id, null last, text hash); of equal such rows, one.
-
-    Only the narrow columns decide. The rows that go are joined out by (doc_id, text hash), and rows equal in both are
-    numbered only where there are any.
-    """
-    digest = F.xxhash64(F.coalesce("text", F.lit(""))).alias("th")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    narrow = durable(fingerprinted(keyed, shingle, seed).select("doc_id", digest, F.col("__fp").alias("fp")))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
+    narrow = durable(keyed.mapInArrow(run, "doc_id long, th long, fp long"))
     return keep_first(docs, narrow, links(narrow.select("fp").distinct(), radius, depth))
 
 
@@ -219,34 +217,41 @@ def keep_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
 
 def keep_first(docs: DataFrame, narrow: DataFrame, linked: DataFrame) -> DataFrame:
-    """docs with the first row of each component. narrow: doc_id, text hash th and class fp of every row; linked(a, b): links between classes."""
-    names = docs.columns
+    """docs with the first row of each component. narrow: doc_id, text hash th and class fp of every row; linked(a, b): links between classes.
+
+    Rows equal in doc_id and text are one place; of them the least by a hash of all columns stays (equal hashes: equal rows, any).
+    """
+    d, t, n = fresh(docs, "__doc", "__hash", "__first")
     digest = F.xxhash64(F.coalesce("text", F.lit("")))
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")
     classes = narrow.groupBy("fp").agg(F.min(place).alias("least"))
     roots = components(linked)
     named = durable(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    first = named.groupBy("root").agg(F.min("least").alias("first"))
-    known = named.join(first, "root").select("fp", "first")
-    groups = narrow.groupBy("doc_id", "th", "fp").agg(F.count(F.lit(1)).alias("copies")).join(known, "fp")
-    gone = durable(groups.where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")).distinct())
-    twice = durable(groups.where(place.eqNullSafe(F.col("first")) & (F.col("copies") > 1)).select(F.col("doc_id").alias("__d"), F.col("th").alias("__t")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (digest == F.col("__t"))
+    # written, so that the joins that bring them back are plain exchanges and a large group's rows can be split
+    first = durable(named.groupBy("root").agg(F.min("least").alias("first")))
+    known = durable(named.join(first, "root").select("fp", "first"))
+    counted = durable(narrow.groupBy("doc_id", "th", "fp").agg(F.count(F.lit(1)).alias("copies")))
+    groups = counted.join(known, "fp")
+    gone = durable(groups.where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct())
+    twice = durable(groups.where(place.eqNullSafe(F.col("first")) & (F.col("copies") > 1)).select(F.col("doc_id").alias(d), F.col("th").alias(t)))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (digest == F.col(t))
     kept = docs.join(gone, same, "left_anti")
     if not twice.isEmpty():
-        more = kept.join(twice, same, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id", digest).orderBy(F.lit(1)))).where("__n = 1")
-        kept = kept.join(twice, same, "left_anti").select(*[F.col(f"`{c}`") for c in names]).union(more.select(*[F.col(f"`{c}`") for c in names]))
-    return kept.select(*[F.col(f"`{c}`") for c in names])
+        row = F.struct(F.xxhash64(*columns(docs)).alias("h"), F.struct(*columns(docs)).alias("row"))
+        more = kept.join(twice, same, "left_semi").select(F.col("doc_id").cast("long").alias(d), digest.alias(t), row.alias(n))
+        least = more.groupBy(d, t).agg(F.min_by(F.col(n)["row"], F.col(n)["h"]).alias(n)).select(f"{n}.*")
+        kept = kept.join(twice, same, "left_anti").select(*columns(docs)).union(least)
+    return kept.select(*columns(docs))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, depth: int = 2, seed: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, depth: int | None = None, seed: int = 42) -> DataFrame:
     """(doc_id long, fp long, component_id long): component_id is the smallest doc_id reachable over links of at most `radius` bits."""
     fps = durable(fingerprints(docs, shingle, seed))
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = durable(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes.select("fp"), radius, depth))
     named = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = durable(named)
-    smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = durable(named.groupBy("root").agg(F.min("least").alias("component_id")))
     known = named.join(smallest, "root").select("fp", "component_id")
     return fps.join(known, "fp").select("doc_id", "fp", "component_id")
 
