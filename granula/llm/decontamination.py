@@ -11,15 +11,19 @@ minima over sum of maxima at least 0.8.
 window at similarity 0.8 lacks at most a fifth of an item's N shingles, hence holds one of any N - ceil(0.8 N) + 1 of them. The
 rarest so many of each item are looked up at every word; around a found one all starts that hold it are tried.
 
-Items are the small, shared side (at most MAX_ITEMS); documents stream past them in one narrow pass with no shuffle.
+Items are the small, shared side: documents stream past them in one narrow pass with no shuffle. A pass takes items of up to
+PASS characters; more items go in parts by a hash of item_id, a pass for each, and the hits are put together.
 
 Defined results: null texts count as empty; an item of fewer than five words is one shingle, one without words matches nothing;
-null doc_ids and repeated rows are kept as they are; extra columns are carried only by `contaminated(whole=True)`.
+null doc_ids and repeated rows are kept as they are; a very long text goes in steps of CHUNK words that overlap; of an item's
+windows tied in similarity the first counts; without items or documents there are no hits or rows; extra columns are carried
+only by `contaminated(whole=True)`.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,7 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RADIUS, SHINGLE, SIMILARITY, MAX_ITEMS = 7, 5, 0.8, 200_000
+from granula.llm.common import columns, fresh
+
+RADIUS, SHINGLE, SIMILARITY = 7, 5, 0.8
+#: Characters of items of one pass; an index takes some ten times as much memory.
+PASS = 16_000_000
 #: Words of one step; bounds the 64 bytes a word that running counts take.
 CHUNK = 1 << 14
 EDGE = b".,;:!?\"'()[]"
@@ -238,21 +246,26 @@ class Matcher:
         return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id (whole: all columns) and `hits` array<struct<item_id, from_word, to_word, similarity>>, one best hit an item, by item_id."""
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").where("text is not null").limit(MAX_ITEMS + 1).collect()
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} benchmark items; split them into several passes")
-    items = [(r.item_id, r.text) for r in rows]
-    names = docs.columns if whole else ["doc_id", "text"]
+_HIT = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("from_word", T.IntegerType()), T.StructField("to_word", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
+_BUILT: dict[str, Matcher] = {}
+
+
+def _built(key: str, items: list[tuple[int, str]]) -> Matcher:
+    """The matcher of a pass, made once a worker; a worker keeps the last one."""
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Matcher(items)
+    return _BUILT[key]
+
+
+def _one_pass(docs: DataFrame, items: list[tuple[int, str]], name: str) -> DataFrame:
+    """All columns of docs and the hits of these items as column `name`."""
+    names, key = docs.columns, uuid.uuid4().hex
     at = names.index("text")
-    hit = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("from_word", T.IntegerType()), T.StructField("to_word", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
     hit_type = pa.list_(pa.struct([("item_id", pa.int64()), ("from_word", pa.int32()), ("to_word", pa.int32()), ("similarity", pa.float64())]))
-    out_name = "__hits" if whole else "hits"
-    schema = T.StructType([*(docs.schema.fields if whole else [T.StructField("doc_id", T.LongType())]), T.StructField(out_name, T.ArrayType(hit))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(items)
+        matcher = _built(key, items)
 
         def flush(texts: list[list[bytes]]) -> list[list[dict]]:
             sizes = np.array([len(t) for t in texts], dtype=np.int64)
@@ -270,10 +283,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False) ->
                         hits += flush(waiting)
                         waiting, n = [], 0
             hits += flush(waiting)
-            kept = batch.columns if whole else [batch.column(0).cast(pa.int64())]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(hits, hit_type)], names=[*(names if whole else ["doc_id"]), out_name])
-
-    return docs.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, hit_type)], names=[*names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(_HIT))]))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, whole: bool = False, name: str | None = None) -> DataFrame:
+    """doc_id (whole: all columns) and `hits` array<struct<item_id, from_word, to_word, similarity>>, one best hit an item, by item_id.
+
+    With whole the column is called `name`, "__hits" without one; docs must not have it.
+    """
+    known = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
+    parts = max(1, math.ceil((known.agg(F.sum(F.length("text"))).first()[0] or 0) / PASS))
+    rows = docs.select(*columns(docs)) if whole else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own, found = rows.columns, []
+    for part in range(parts):
+        items = [(r.item_id, r.text) for r in known.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part).collect()]
+        (made,) = fresh(rows, "__hits")
+        rows = _one_pass(rows, items, made)
+        found.append(made)
+    hits = F.array_sort(F.concat(*found)) if parts > 1 else F.col(found[0])
+    return rows.select(*[F.col(f"`{c}`") for c in own if whole or c != "text"], hits.alias((name or "__hits") if whole else "hits"))
 
 
 def op3_window_simhash_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
