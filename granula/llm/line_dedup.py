@@ -1,20 +1,22 @@
 """Line dedup by winnowing.
 
-A text is cut into units: lines, and inside a line sentences (LINE; the pieces joined give the text back). For every unit the
-window is the shortest run of whole units from it on with at least MIN_WORDS words. Winnowing keeps, of each window, the unit
-with the least hash (the rightmost on ties) as its fingerprint; equal windows choose equal fingerprints, so a repeated run of
-whole units with MIN_WORDS words or more is guaranteed to share one. Words of a unit that is repeated only in part do not count:
-a passage that begins or ends in mid-sentence is found only if the whole units inside it have MIN_WORDS words.
+A text is cut into units: lines, and inside a line sentences (LINE; the pieces joined give the text back). Windows are runs of
+whole units with at least MIN_WORDS words that are shortest from their first unit on or shortest back from their last. Winnowing
+keeps, of each window, the unit with the least hash (the rightmost on ties) as its fingerprint; equal windows choose equal
+fingerprints, so a repeated run of whole units with MIN_WORDS words or more is guaranteed to share one. Words of a unit that is
+repeated only in part do not count: a passage that begins or ends in mid-sentence is found only if the whole units inside it
+have MIN_WORDS words.
 
 Positions are joined by fingerprint; those that occur once are dropped. A match is extended both ways through the windows that
 chose the fingerprint: each window's content hash is compared over all documents, the earliest by (doc_id, text hash, unit)
-stays, and every unit of a later equal window is deleted. The deleted units are the union of these windows, not the maximal
-repeated run: once fewer than MIN_WORDS words of a run follow a unit, it starts no window, and a tail after the last window stays,
-as in the SQL. No pair of occurrences is ever formed: groups are aggregated to their first member.
+stays, and every unit of a later equal window is deleted. Windows that go forward from a unit cover a repeated run up to where
+fewer than MIN_WORDS words are left, and the window back from its last unit covers the rest; so what is deleted is the union of
+all repeated runs of whole units, each from its first unit to its last. No pair of occurrences is ever formed: groups are
+aggregated to their first member.
 
 Defined results: a null text counts as empty; texts under MIN_WORDS words have no window and stay; pieces without words are never
-deleted; null doc_ids come last in the order; rows with the same doc_id and text are one document and are cut alike; extra
-columns are not carried.
+deleted; a very long text has as many windows as units, twice as many at most; null doc_ids come last in the order; rows with the
+same doc_id and text are one document and are cut alike; an empty table gives an empty result; extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -50,9 +52,12 @@ def winnow(pieces: list[str], min_words: int = MIN_WORDS) -> tuple[np.ndarray, .
     stripped = [pieces[i].strip(_SPACE).encode("utf-8", "surrogatepass") for i in index]
     h = np.fromiter(map(xxhash.xxh64_intdigest, stripped), dtype=np.uint64, count=len(stripped))
     upto = np.concatenate(([0], np.cumsum(n)))
-    end = np.searchsorted(upto, upto[:-1] + min_words, side="left") - 1
-    start = np.flatnonzero(end < len(n))
-    end = end[start]
+    # the shortest windows from s end at first[s]; those back from e start at s for e from first[s] to before first[s + 1]
+    first = np.append(np.searchsorted(upto, upto[:-1] + min_words, side="left") - 1, len(n))
+    whole = np.flatnonzero(first < len(n))
+    many = np.maximum(1, first[whole + 1] - first[whole])
+    start = np.repeat(whole, many)
+    end = first[start] + np.arange(len(start)) - np.repeat(np.cumsum(many) - many, many)
     chosen, window, deque = np.empty(len(start), np.int64), np.empty(len(start), np.uint64), []
     values, head, pushed = h.tolist(), 0, 0
     for k, (s, e) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
@@ -132,14 +137,16 @@ def op1_line_winnowing(docs: DataFrame) -> DataFrame:
 
 
 def oracle_sql() -> str:
-    """Brute force: every window of every document against every other."""
+    """Brute force: every window, forward from a unit or back from one, of every document against every other."""
     space = r"[\x20\x09-\x0D]+"
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
     u AS (SELECT rid, doc_id, text, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT *, regexp_extract_all(text, '[^.!?\n]*[.!?\n]+[ \t\n]*|[^.!?\n]+$') AS p FROM d)),
     w AS (SELECT *, len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) AS n, regexp_replace(piece, '^{space}|{space}$', '', 'g') AS body FROM u),
     x AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS k, sum(n) OVER (PARTITION BY rid ORDER BY i) AS upto FROM w WHERE n > 0),
-    a AS (SELECT a.rid, a.doc_id, a.text, a.k AS lo, b.k AS hi FROM (SELECT *, upto - n + {MIN_WORDS} AS need FROM x) a ASOF JOIN x b ON a.rid = b.rid AND a.need <= b.upto),
+    a0 AS (SELECT a.rid, a.doc_id, a.text, a.k AS lo, b.k AS hi FROM (SELECT *, upto - n + {MIN_WORDS} AS need FROM x) a ASOF JOIN x b ON a.rid = b.rid AND a.need <= b.upto),
+    a1 AS (SELECT a0.*, coalesce(lead(hi) OVER (PARTITION BY a0.rid ORDER BY lo), c.n + 1) AS until FROM a0 JOIN (SELECT rid, count(*) AS n FROM x GROUP BY rid) c ON a0.rid = c.rid),
+    a AS (SELECT rid, doc_id, text, lo, unnest(range(hi, greatest(until, hi + 1))) AS hi FROM a1),
     l AS (SELECT rid, list(body ORDER BY k) AS bodies FROM x GROUP BY rid),
     g AS (SELECT a.*, array_to_string(bodies[lo : hi], chr(1)) AS gram FROM a JOIN l USING (rid)),
     f AS (SELECT *, first_value(rid) OVER (PARTITION BY gram ORDER BY doc_id NULLS LAST, text, lo) AS frid, first_value(lo) OVER (PARTITION BY gram ORDER BY doc_id NULLS LAST, text, lo) AS flo FROM g),
