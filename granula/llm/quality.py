@@ -1,11 +1,14 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of PASSAGE words. Each passage is encoded by a small learned layer over character-class shares,
-word lengths and the share of distinct words. Gated attention, tanh(V h) * sigmoid(U h), weighs the passages; the weighted
-encoding gives the score. All weights are learned together from document labels by Adam, in numpy, on a bounded sample.
-
-Defined results: a null text counts as empty; a text without words is one all-zero passage and is scored as such; a null doc_id
-is not held out; without labelled rows the score is 0.5, with one class only it is that class. Extra columns are not carried.
+A document is a bag of passages of PASSAGE words. Each passage is encoded by a learned layer over what it is made of: the share
+of every ASCII byte and of other bytes, hashed words and pairs of neighbouring words (BUCKETS of them, by share), word length,
+the share of distinct words and how many words there are. Gated attention, tanh(V h) * sigmoid(U h), weighs the passages; the
+weighted encoding gives the score. All weights are learned together from document labels by Adam, in numpy, on a bounded sample.
+
+Defined results: a null text counts as empty; a text without words is one all-zero passage and is scored as such; a very long
+text is a larger bag, scored whole; repeated rows get equal scores, and count as often as they come in training; rows tied in the
+sample's order go by doc_id and text; a null doc_id is not held out; without labelled rows the score is 0.5, with one class only it is that
+class. An empty table gives an empty result. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -15,27 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PASSAGE, HIDDEN, GATE = 64, 12, 8
-#: Character classes, by byte: lower, upper, digit, ". ,", each junk-prone mark of its own, other ASCII, non-ASCII, space.
-_CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,;:?", b"!", b"|", b"%&*$#@^~", b"<>{}[]=_/\\", b"\"'()-+"]
-_SPACE = b" \t\n\r\x0b\x0c"
-N_CLASSES = len(_CLASSES) + 3
-WIDTH = N_CLASSES + 5
-
-
-def _byte_table() -> np.ndarray:
-    table = np.full(256, len(_CLASSES), dtype=np.uint8)
-    for i, chars in enumerate(_CLASSES):
-        table[list(chars)] = i
-    table[128:] = len(_CLASSES) + 1
-    table[list(_SPACE)] = len(_CLASSES) + 2
-    return table
-
-
-_TABLE = _byte_table()
+PASSAGE, HIDDEN, GATE, BUCKETS = 64, 12, 8, 128
+#: Hashed columns enter at so small a part of their deviation: there are many of them, and each says little.
+HASHED = 8.0
+#: Shares of bytes 0 to 127 and of all others, hashed words, hashed pairs, and three measures.
+WIDTH = 129 + 2 * BUCKETS + 3
 
 
 def passages(text: str | None) -> np.ndarray:
@@ -43,22 +34,30 @@ def passages(text: str | None) -> np.ndarray:
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     if not words:
-        return np.zeros((1, WIDTH))
-    kind = _TABLE[np.frombuffer(raw, np.uint8)]
-    blank = kind == len(_CLASSES) + 2
-    begins = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))
-    starts = begins[::PASSAGE]
+        return np.zeros((1, WIDTH), dtype=np.float32)
+    data = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[data]
+    starts = np.flatnonzero(~blank & np.concatenate(([True], blank[:-1])))[::PASSAGE]
     count = len(starts)
     owner = np.zeros(len(raw), dtype=np.int64)
     owner[starts[1:]] = 1
     owner = np.cumsum(owner)
-    shares = np.bincount(owner * N_CLASSES + kind, minlength=count * N_CLASSES).reshape(count, N_CLASSES).astype(float)
+    shares = np.bincount(owner * 129 + np.minimum(data, 128), minlength=count * 129).reshape(count, 129).astype(float)
     total = shares.sum(axis=1, keepdims=True)
-    sets = [words[i : i + PASSAGE] for i in range(0, len(words), PASSAGE)]
-    n = np.array([len(s) for s in sets], dtype=float)
-    distinct = np.array([len(set(s)) for s in sets]) / n
-    length = (total[:, 0] - shares[:, -1]) / n
-    return np.c_[shares / total, distinct, length / 10, np.log1p(n) / 5, shares[:, 4] / n, (shares[:, 5] + shares[:, 6]) / n]
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    of = np.arange(len(words)) // PASSAGE
+    n = np.bincount(of, minlength=count).astype(float)
+    single = np.bincount(of * BUCKETS + (h % np.uint64(BUCKETS)).astype(np.int64), minlength=count * BUCKETS).reshape(count, BUCKETS)
+    pair = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)
+    inside = of[1:] == of[:-1]
+    pairs = np.bincount(of[1:][inside] * BUCKETS + (pair[inside] % np.uint64(BUCKETS)).astype(np.int64), minlength=count * BUCKETS).reshape(count, BUCKETS)
+    distinct = np.array([len(set(words[i : i + PASSAGE])) for i in range(0, len(words), PASSAGE)]) / n
+    length = np.bincount(owner, weights=~blank, minlength=count) / n
+    return np.c_[shares / total, single / n[:, None], pairs / n[:, None], distinct, length / 10, np.log1p(n) / 5].astype(np.float32)
+
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[list(b" \t\n\r\x0b\x0c")] = True
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -83,6 +82,18 @@ class QualityModel:
         z = np.add.reduceat(attention[:, None] * h, starts, axis=0)
         return {"h": h, "t": t, "g": g, "attention": attention, "owner": owner, "z": z, "y": _sigmoid(z @ w["c"] + w["d"][0])}
 
+    def gradients(self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean cross-entropy of the bags."""
+        w, f = self.weights, self.forward(x, starts)
+        h, t, g, attention, owner, z = (f[k] for k in ("h", "t", "g", "attention", "owner", "z"))
+        dy = (f["y"] - labels) / len(labels)
+        dz = dy[:, None] * w["c"]
+        da = (h * dz[owner]).sum(axis=1)
+        de = attention * (da - np.add.reduceat(attention * da, starts)[owner])
+        dt, dg = de[:, None] * w["a"] * g * (1 - t**2), de[:, None] * w["a"] * t * g * (1 - g)
+        dh = (attention[:, None] * dz[owner] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h**2)
+        return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ dy, "d": np.array([dy.sum()])}
+
     def score(self, texts: list[str | None]) -> np.ndarray:
         if self.constant is not None or not texts:
             return np.full(len(texts), self.constant)
@@ -95,9 +106,13 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 30, batch: int = 1
     if not len(texts) or len(set(labels.tolist())) < 2:
         return QualityModel({}, np.zeros(0), np.zeros(0), float(labels[0]) if len(texts) else 0.5)
     bags = [passages(t) for t in texts]
-    every = np.concatenate(bags)
-    mean, scale = every.mean(axis=0), every.std(axis=0) + 1e-6
-    bags = [(b - mean) / scale for b in bags]
+    rows = sum(map(len, bags))
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / rows
+    scale = (sum(((b - mean) ** 2).sum(axis=0) for b in bags) / rows) ** 0.5 + 1e-3
+    scale[129 : 129 + 2 * BUCKETS] *= HASHED
+    for b in bags:
+        b -= mean
+        b /= scale
     rng = np.random.default_rng(seed)
     w = {"W": rng.normal(0, WIDTH**-0.5, (WIDTH, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, 0.3, (HIDDEN, GATE)), "U": rng.normal(0, 0.3, (HIDDEN, GATE)), "a": rng.normal(0, 0.3, GATE), "c": rng.normal(0, 0.3, HIDDEN), "d": np.zeros(1)}
     model = QualityModel(w, mean, scale)
@@ -108,15 +123,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 30, batch: int = 1
             chosen = order[at : at + batch]
             x = np.concatenate([bags[i] for i in chosen])
             starts = np.concatenate(([0], np.cumsum([len(bags[i]) for i in chosen])[:-1]))
-            f = model.forward(x, starts)
-            h, t, g, attention, owner, z = (f[k] for k in ("h", "t", "g", "attention", "owner", "z"))
-            dy = (f["y"] - labels[chosen]) / len(chosen)
-            dz = dy[:, None] * w["c"]
-            da = (h * dz[owner]).sum(axis=1)
-            de = attention * (da - np.add.reduceat(attention * da, starts)[owner])
-            dt, dg = de[:, None] * w["a"] * g * (1 - t**2), de[:, None] * w["a"] * t * g * (1 - g)
-            dh = (attention[:, None] * dz[owner] + dt @ w["V"].T + dg @ w["U"].T) * (1 - h**2)
-            grads = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ dg, "a": (t * g).T @ de, "c": z.T @ dy, "d": np.array([dy.sum()])}
+            grads = model.gradients(x, starts, labels[chosen])
             step += 1
             pace = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
             for k, d in grads.items():
