@@ -26,7 +26,7 @@ ROWS = [
 
 
 def clashing(df):
-    for c in ("score", "fp", "h", "shard", "size", "bucket", "hits", "spans", "taken", "rank", "symbol", "key", "words", "copies"):
+    for c in ("score", "fp", "h", "shard", "size", "bucket", "hits", "spans", "taken", "rank", "symbol", "key", "words", "copies", "alone", "__score", "__hits", "__shard", "__SHARD_", "__region", "__rack", "__doc", "__hash", "__first", "__source", "__size", "__place"):
         df = df.withColumn(c, F.lit("x"))
     return df
 
@@ -114,14 +114,47 @@ def folder(tmp_path_factory, docs, labels, benchmark):
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages(spark, docs, folder, name, stage):
+    """Columns stay, whatever they are called, and the rows are those that come of plain columns."""
     wide = clashing(docs)
-    out = stage(spark, wide, folder)
+    out, plain = stage(spark, wide, folder), stage(spark, docs, folder)
     if name != "sharding":
         assert out.columns == wide.columns
-    out.collect()
+    else:
+        assert set(out.columns) == set(wide.columns)
+    key = lambda r: (repr(r["doc_id"]), r["text"] or "")
+    narrow = out.select(*plain.columns).collect()
+    assert sorted(map(tuple, narrow), key=repr) == sorted(map(tuple, plain.collect()), key=repr)
+    assert {key(r) for r in narrow} <= {key({"doc_id": r[0], "text": r[1]}) for r in ROWS}
     assert stage(spark, docs.where("false"), folder).collect() == []
 
 
+def test_stage_rows(spark, docs, folder):
+    """Which rows each stage keeps."""
+    ids = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.collect())
+    run = dict(corpus_pipeline.STAGES)
+    # 5 copies 4, 7 and 2 and a null id without words are copies of each other, a repeated row goes but once
+    kept = ids(run["near_duplicates"](spark, docs, folder))
+    assert [x[1] for x in kept if not x[0]] == [1, 2, 4, 6, 6, 8] and [x for x in kept if x[0]] == [(True, 0, "a null id")]
+    mixed = run["mixing"](spark, docs, folder).collect()
+    assert all((r.text or "").split() for r in mixed) and max(sum(x == r for x in mixed) for r in mixed) <= 4
+    item = "well the quick brown fox jumps over the lazy dog again and again they say"
+    more = docs.limit(0).union(spark.createDataFrame([(50, item, "en", "a", 1), (51, "clean text", "en", "a", 1)], DOC))
+    assert ids(run["decontamination"](spark, more, folder)) == [(False, 51, "clean text")]
+    sharded = run["sharding"](spark, docs, folder).collect()
+    assert len(sharded) == len(ROWS) and len({r.shard for r in sharded if r.doc_id is None}) == 1
+
+
+def test_toxic_documents_go(spark):
+    """With labels enough, the stage drops just the rows whose score is 0.7 or more."""
+    from granula.llm.common import table
+
+    d = "/root/testdata/sf0.01"
+    docs = table(spark, d, "documents")
+    toxic = {r.doc_id for r in toxicity.op7_compression_toxicity(docs, table(spark, d, "labels")).collect() if r.predicted}
+    kept = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, d).collect()}
+    assert toxic and kept == {r.doc_id for r in docs.collect()} - toxic
+
+
 def test_pipeline_runs(spark, folder):
     out = corpus_pipeline.run(spark, folder)
     assert {"doc_id", "text", "lang", "source", "n_chars", "shard"} == set(out.columns)

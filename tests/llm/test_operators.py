@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from conftest import same_as_sql
 
-from granula.llm import chat_format, decontamination, fingerprints, line_dedup, mixing, quality, sharding, simhash_dedup, toxicity
+from granula.llm import chat_format, decontamination, fingerprints, license_scan, line_dedup, mixing, quality, sharding, simhash_dedup, toxicity
 from granula.llm import queries as registered
 from granula.llm.common import components, table
 
@@ -207,7 +207,7 @@ def test_toxicity_on_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     rows = toxicity.op7_compression_toxicity(table(spark, d, "documents"), table(spark, d, "labels")).collect()
     pairs = held_out(spark, d, rows, "toxic", 3, 1)
-    assert np.mean([r.predicted for y, r in pairs if y]) > 0.5  # few labels; with more the recall is near one
+    assert np.mean([r.predicted for y, r in pairs if y]) > 0.7  # few labels; with more the recall is near one
     assert np.mean([r.predicted for y, r in pairs if not y]) < 0.02
 
 
@@ -222,10 +222,158 @@ def test_blocked_viterbi_equals_plain():
         assert [s for b, (e, x) in zip(blocks, ends, strict=True) for s in m.path(b, e, x)] == m.path(symbols)
 
 
-def test_roles_and_rendering(spark, sf_dir, monkeypatch):
+def test_roles_and_rendering(spark, monkeypatch):
+    """The whole query, in blocks of three turns, against plain Viterbi over each conversation and plain rendering."""
     monkeypatch.setattr(chat_format, "BLOCK", 3)
     convs = table(spark, "/root/testdata/sf0.01", "conversations")
-    rows = chat_format.parse(convs, chat_format.fit(convs)).collect()
+    model = chat_format.fit(convs)
+    prepared = chat_format.prepared(convs).select("conv_id", "turn", "role", "text", "symbols").collect()
+    by = {}
+    for r in sorted(prepared, key=lambda r: (r.conv_id, r.turn)):
+        by.setdefault(r.conv_id, []).append(r)
+    want = {}
+    for conv, turns in by.items():
+        for t, path in zip(turns, model.turns([t.symbols for t in turns]), strict=True):
+            text, lines = "", t.text.split("\n")
+            for i, (line, at) in enumerate(zip(lines, path, strict=True)):
+                text += ("" if i == 0 else "\n") + line if i and at == path[i - 1] else ("<|end|>\n" if i else "") + f"<|{chat_format.ROLES[at]}|>\n{line}"
+            want[conv, t.turn] = (chat_format.ROLES[path[0]], text + "<|end|>")
+    rows = chat_format.parse(convs, model).collect()
+    assert {(r.conv_id, r.turn): (r.parsed_role, r.rendered) for r in rows} == want and len(rows) == len(prepared)
     assert np.mean([r.role == r.parsed_role for r in rows]) > 0.95
-    one = spark.createDataFrame([(1, 0, "user", "**User**: what is it?")], "conv_id long, turn long, role string, text string")
-    assert chat_format.parse(one, chat_format.fit(one)).first().rendered.endswith("|>\nwhat is it?<|end|>")
+
+
+def test_pasted_transcripts(spark):
+    """One text with several speakers' lines is parted among them."""
+    model = chat_format.fit(table(spark, "/root/testdata/sf0.01", "conversations"))
+    text = "User: what is it?\nplease tell\nAssistant: it is a\nlong line\n**User**: ok?\n[AI] bye"
+    one = spark.createDataFrame([(1, 0, None, text), (2, 0, "user", "**User**: what?")], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_format.parse(one, model).collect()}
+    assert got[1].rendered == "<|user|>\nwhat is it?\nplease tell<|end|>\n<|assistant|>\nit is a\nlong line<|end|>\n<|user|>\nok?<|end|>\n<|assistant|>\nbye<|end|>" and got[1].n_turns == 4
+    assert got[2].rendered == "<|user|>\nwhat?<|end|>"
+
+
+def test_runs_are_covered():
+    """The windows are the runs shortest from either end, and every run of MIN_WORDS words is the union of its windows."""
+    rng = random.Random(2)
+    for _ in range(150):
+        n = [rng.choice([5, 10, 20, 25, 55, 30]) for _ in range(rng.randint(1, 12))]
+        start, end, *_ = line_dedup.winnow(line_dedup.units("".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(k)) + ". " for k in n)))
+        got = set(zip(start.tolist(), end.tolist(), strict=True))
+        runs = {(i, j) for i in range(len(n)) for j in range(i, len(n)) if sum(n[i : j + 1]) >= line_dedup.MIN_WORDS}
+        assert got == {(i, j) for i, j in runs if (i, j - 1) not in runs or (i + 1, j) not in runs}
+        assert all({u for a, b in got if i <= a and b <= j for u in range(a, b + 1)} == set(range(i, j + 1)) for i, j in runs)
+
+
+def test_repeats_go_to_their_end(spark):
+    """A later run goes whole, its short tail too; the earlier one stays."""
+    rng = random.Random(4)
+    sentence = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) + ". "
+    shared = "".join(sentence(n) for n in (55, 25, 20))
+    docs = spark.createDataFrame([(1, sentence(30) + shared + sentence(30)), (2, sentence(9) + shared + sentence(40)), (3, sentence(30) + sentence(30))], "doc_id long, text string")
+    got = {r.doc_id: (r.removed_units, r.removed_words) for r in line_dedup.op1_line_winnowing(docs).collect()}
+    assert got == {1: (0, 0), 2: (3, 100), 3: (0, 0)}
+
+
+def test_quality_gradients_and_forward():
+    """The forward pass against loops over passages, the gradients against differences."""
+    rng = np.random.default_rng(3)
+    bags = [rng.normal(size=(n, 6)) for n in (1, 4, 3)]
+    w = {"W": rng.normal(size=(6, 5)), "b": rng.normal(size=5), "V": rng.normal(size=(5, 3)), "U": rng.normal(size=(5, 3)), "a": rng.normal(size=3), "c": rng.normal(size=5), "d": rng.normal(size=1)}
+    model = quality.QualityModel(w, np.zeros(6), np.ones(6))
+    x, starts, labels = np.concatenate(bags), np.array([0, 1, 5]), np.array([1.0, 0.0, 1.0])
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    want = []
+    for bag in bags:
+        h = [np.tanh(p @ w["W"] + w["b"]) for p in bag]
+        e = [np.exp(w["a"] @ (np.tanh(p @ w["V"]) * sigmoid(p @ w["U"]))) for p in h]
+        want.append(sigmoid(sum(k * p for k, p in zip(e, h, strict=True)) / sum(e) @ w["c"] + w["d"][0]))
+    assert np.allclose(model.forward(x, starts)["y"], want)
+
+    def loss():
+        y = model.forward(x, starts)["y"]
+        return -np.mean(labels * np.log(y) + (1 - labels) * np.log(1 - y))
+
+    for name, grad in model.gradients(x, starts, labels).items():
+        for at in np.ndindex(grad.shape):
+            kept = w[name][at]
+            w[name][at] = kept + 1e-5
+            up = loss()
+            w[name][at] = kept - 1e-5
+            down = loss()
+            w[name][at] = kept
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-6
+
+
+def test_quality_query_matches_plain_scores(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r.score for r in quality.op6_attention_quality(docs, labels).collect()}
+    assert all(abs(got[r.doc_id] - model.score([r.text])[0]) < 1e-9 for r in docs.collect())
+
+
+def test_toxicity_query_matches_brute_force(spark, sf_dir):
+    """Every window compressed by itself under either dictionary, with no cache and no batch."""
+    import zstandard
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels)
+    how = zstandard.ZstdCompressionParameters(window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=4, target_length=32, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
+    plain, marked = (zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(c, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how) for c in (model.ordinary, model.toxic + model.ordinary))
+    got = {r.doc_id: r.score for r in toxicity.op7_compression_toxicity(docs, labels).collect()}
+    for r in docs.limit(40).collect():
+        gains = []
+        for w in {v[i : i + 48] for v in (x.strip(toxicity.EDGE) for x in (r.text or "").lower().encode().split()) for i in range(0, len(v), 48)}:
+            item = b" " + w + b" " + model.ordinary[-65:-1]
+            gains.append((len(plain.compress(item)) - len(marked.compress(item))) / (len(w) + 1))
+        gains.sort()
+        x = [gains[-1], np.mean(gains[-2:]), np.log1p(sum(g >= model.passing for g in gains))] if gains else [0, 0, 0]
+        assert abs(1 / (1 + np.exp(-(np.dot(x, model.weights[:-1]) + model.weights[-1]))) - got[r.doc_id]) < 1e-9
+
+
+def test_hypergeometric_law():
+    """Every quantile of small laws, and mean and deviation at sizes no table holds."""
+    import math
+
+    for good, bad, take in ((5, 7, 4), (1, 30, 9), (20, 3, 21)):
+        cuts = np.cumsum([math.comb(good, x) * math.comb(bad, take - x) / math.comb(good + bad, take) for x in range(take + 1)])
+        for u in np.linspace(0.001, 0.999, 400):
+            assert mixing.hypergeometric(u, good, bad, take) == int(np.searchsorted(cuts, u, side="right"))
+    rng, good, bad, take = np.random.default_rng(1), 3 * 10**9, 9 * 10**9, 10**9
+    drawn = np.array([mixing.hypergeometric(rng.random(), good, bad, take) for _ in range(300)], dtype=float)
+    sd = (take * 0.25 * 0.75 * (1 - take / (good + bad))) ** 0.5
+    assert abs(drawn.mean() - take / 4) < 4 * sd / 300**0.5 and 0.85 < drawn.std() / sd < 1.15
+
+
+LICENSES = [
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gpl"),
+    ("This work is licensed under the GNU General Public License, version 3.", "gpl"),
+    ("under the terms of the GNU Lesser General Public License as published", "gpl,lgpl"),
+    ("under the terms of the GNU Affero General Public License as published", "agpl,gpl"),
+    ("Licensed under CC BY 4.0.", "cc-by"),
+    ("Licensed under CC BY-NC 4.0.", "cc-by,cc-by-nc"),
+    ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa"),
+    ("Released under the MIT License.", "mit"),
+    ("the license was released under the new policy", ""),
+    ("the general public may use the license of the gnu", ""),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+    ("Licensed under the Apache License, Version 2.0", "apache"),
+]
+
+
+def test_license_labels(spark):
+    """Every license alone, those like others and texts that only sound so; base labels stay as the contract has them."""
+    rows = [(i, f"some words before it {t} and some words after") for i, (t, _) in enumerate(LICENSES)]
+    got = {r.doc_id: r.labels for r in license_scan.op2_license_set_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: want for i, (_, want) in enumerate(LICENSES)}
+
+
+def test_chain_depth_follows_the_count():
+    assert [simhash_dedup.chain_depth(n) for n in (0, 1 << 26, (1 << 26) + 1, 1 << 40)] == [2, 2, 3, 4]
+
+
+def test_items_in_several_passes(spark, sf_dir, monkeypatch):
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    want = sorted(map(tuple, decontamination.op3_window_simhash_decontamination(docs, benchmark).collect()))
+    monkeypatch.setattr(decontamination, "PASS", 4000)
+    assert sorted(map(tuple, decontamination.op3_window_simhash_decontamination(docs, benchmark).collect())) == want
