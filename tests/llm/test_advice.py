@@ -73,3 +73,20 @@ def test_items_changed_at_both_ends():
         got = {x[0]: x[3] for x in matcher.find(h, np.full(len(h), len(h))).get(0, [])}
         found += got.get(i) == want
     assert found == 300
+
+
+def test_signatures_prune_no_link(spark):
+    """Every pair of sets at 0.8 is possible by its signatures, sizes on both sides of a power of two; most pairs below fall."""
+    rng, rows = np.random.default_rng(8), []
+    for size in (3, 30, 60, 64, 70, 250, 257, 300):
+        own = rng.integers(0, 1 << 64, size, dtype=np.uint64)
+        rows.append(own)
+        for _ in range(6):
+            cut = int(rng.integers(0, size // 3 + 1))
+            rows.append(np.concatenate([own[cut:], rng.integers(0, 1 << 64, int(rng.integers(0, cut + 1)), dtype=np.uint64)]))
+    rows = [np.unique(r) for r in rows]
+    sets = spark.createDataFrame([(i, len(r), similar_links.parities(r).tolist()) for i, r in enumerate(rows)], "fp long, n int, sign array<long>")
+    pairs = {(i, j): len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for i, a in enumerate(rows) for j, b in enumerate(rows) if i < j and 0.8 * max(len(a), len(b)) <= min(len(a), len(b))}
+    got = {(r.a, r.b) for r in similar_links.possible(spark.createDataFrame(sorted(pairs), "a long, b long"), sets).collect()}
+    alike = {p for p, s in pairs.items() if s >= 0.8}
+    assert alike and alike <= got and not any(pairs[p] < 0.5 for p in got)
