@@ -15,10 +15,11 @@ def jaccard(a, b):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("often", [2, 8])
-def test_near_copies_at_five_words(spark, monkeypatch, often):
-    """Copies just above similarity 0.8 go, those just below stay, whatever shingles count as frequent."""
+@pytest.mark.parametrize("often,block", [(2, 4096), (8, 4096), (8, 4)])
+def test_near_copies_at_five_words(spark, monkeypatch, often, block):
+    """Copies just above similarity 0.8 go, those just below stay, whatever shingles count as frequent and however keys are split."""
     monkeypatch.setattr(similar_links, "OFTEN", often)
+    monkeypatch.setattr(similar_links, "BLOCK", block)
     rng, rows = random.Random(5), []
     for base in range(30):
         words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
@@ -75,7 +76,7 @@ def test_items_changed_at_both_ends():
     assert found == 300
 
 
-def test_signatures_prune_no_link(spark):
+def test_signatures_prune_no_link(spark, monkeypatch):
     """Every pair of sets at 0.8 is possible by its signatures, sizes on both sides of a power of two; most pairs below fall."""
     rng, rows = np.random.default_rng(8), []
     for size in (3, 30, 60, 64, 70, 250, 257, 300):
@@ -90,3 +91,30 @@ def test_signatures_prune_no_link(spark):
     got = {(r.a, r.b) for r in similar_links.possible(spark.createDataFrame(sorted(pairs), "a long, b long"), sets).collect()}
     alike = {p for p, s in pairs.items() if s >= 0.8}
     assert alike and alike <= got and not any(pairs[p] < 0.5 for p in got)
+    left = sets.selectExpr("7L as key", "fp", "n", "fp as root")
+    for block in (4096, 8):
+        monkeypatch.setattr(similar_links, "BLOCK", block)
+        assert {(r.a, r.b) for r in similar_links.bucket_pairs(left, sets).collect()} == got
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_large_groups_lose_no_link(spark, monkeypatch, block):
+    """Many copies of one text, each with edits of its own, about as like each other as the threshold: groups are those of brute force."""
+    monkeypatch.setattr(similar_links, "BLOCK", block)
+    rng, rows = random.Random(6), []
+    base = [f"w{i}" for i in range(120)]
+    for i in range(60):
+        words = list(base)
+        for k in rng.sample(range(120), rng.randint(1, 4)):
+            words[k] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    parts = [{tuple(t.split()[i : i + 5]) for i in range(116)} for _, t in rows]
+    at = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(parts[i] & parts[j]) / len(parts[i] | parts[j]) >= 0.8 and at[i] != at[j]:
+                lo, hi = sorted((at[i], at[j]))
+                at = [lo if x == hi else x for x in at]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert kept == sorted(set(at)) and len(kept) > 1
