@@ -16,13 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from granula.functions import layer3 as L
 from granula.functions import psycho as P
 from granula.functions import tables as T
 from granula.functions.dsp import to_s16
 from granula.operators.frames import cbr_padding
+from granula.operators.signal import pre_echo
 
 FRAMES = "stream_id long, frame_no long, segment_id long, off long, frame_bytes int, layer int, hz int, channels int, kbps int, samples int, status string, payload binary"
 _FRAME_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
@@ -291,10 +291,14 @@ def encode(pcm: DataFrame, hz: int = 44100, kbps: int = 128, channels: int = 1,
     """stream_id, frame_no, data: CBR MPEG-1 frames, each with its own main data. pcm: stream_id, granule, channel, pcm array<double> of 576.
 
     masked: noise is shaped under psychoacoustic thresholds by at most `rounds` passes of the distortion loop a granule; else one
-    global gain a granule. Samples are clamped to [-1, 1]; a frame with a sample that is no number is silent. An odd last granule is followed by silence.
+    global gain a granule. Samples are clamped to [-1, 1]. A sample that is no number or not finite ends its stream: its frame and all later ones are
+    not coded. An odd last granule is followed by silence.
     """
     validate(hz, channels, kbps)
-    clean = F.transform("pcm", lambda v: F.when(F.isnan(v), F.lit(0.0)).otherwise(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))))
+    frame = F.floor(F.col("granule") / 2)
+    ends = pcm.where(F.exists("pcm", lambda v: F.isnan(v) | (F.abs(v) == float("inf")))).groupBy("stream_id").agg(F.min(frame).alias("ended"))
+    pcm = pcm.join(ends, "stream_id", "left").where(F.col("ended").isNull() | (frame < F.col("ended"))).drop("ended")
+    clean = F.transform("pcm", lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v)))
     rows = pcm.select("stream_id", F.lit(0).cast("long").alias("segment_id"), "channel", "granule", clean.alias("x"))
     bands = _pairwise(_before(rows, "x", "past"), "past", "x", "bands", lambda p, x: L.flip(L.analyse(p, x, window)))
     lines = _pairwise(_before(bands, "bands", "past"), "past", "bands", "lines", lambda p, b: L.antialias(L.mdct(p.reshape(32, 18), b.reshape(32, 18)), 31, True))
@@ -331,7 +335,7 @@ def allowed_noise(rows: DataFrame, hz: int) -> DataFrame:
     """stream_id, channel, granule, xmin: allowed noise of the 22 long bands. rows: stream_id, channel, granule, x of 576 samples.
 
     A granule's three windows span its own samples and those of the four before, gathered by one aggregation over granule + 0..4,
-    so thresholds are made in parallel; the pre-echo cap then is a running minimum of log2(threshold) - granule.
+    so thresholds are made in parallel; the pre-echo cap, floor and all, then is a running minimum.
     """
     spread = rows.select("stream_id", "channel", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct((F.col("granule") + k).alias("granule"), k.alias("back")))).alias("to"), "x")
     seen = spread.groupBy("stream_id", "channel", "to.granule").agg(F.max(F.when(F.col("to.back") == 0, 1)).alias("own"), F.map_from_entries(F.collect_list(F.struct("to.back", "x"))).alias("past")).where("own = 1")
@@ -346,14 +350,14 @@ def allowed_noise(rows: DataFrame, hz: int) -> DataFrame:
 
     raw = flat.mapInArrow(thresholds, "stream_id long, channel int, granule long, raw array<double>, energy array<double>")
     part = raw.select("stream_id", "channel", "granule", F.posexplode("raw").alias("b", "v"))
-    w = Window.partitionBy("stream_id", "channel", "b").orderBy("granule").rowsBetween(Window.unboundedPreceding, 0)
-    low = F.pow(F.lit(2.0), F.col("granule") + F.min(F.log2(F.greatest("v", F.lit(1e-300))) - F.col("granule")).over(w))
-    cap = part.withColumn("nb", low).groupBy("stream_id", "channel", "granule").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "nb"))), lambda x: x["nb"]).alias("nb"))
+    quiet = F.get(F.array(*[F.lit(float(q) / 2**30) for q in P.tables(hz).quiet]), F.col("b"))
+    capped = pre_echo(part, ["stream_id", "channel", "b"], "granule", "v", quiet, "nb")
+    cap = capped.groupBy("stream_id", "channel", "granule").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "nb"))), lambda x: x["nb"]).alias("nb"))
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # a partition's threshold is a power of the unscaled window's spectrum; CALIBRATION brings it to the lines' scale
         for b in batches:
-            made = [CALIBRATION * P.to_bands(np.maximum(np.array(nb), P.tables(hz).quiet / 2**30), np.array(e), hz)[0] for nb, e in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
+            made = [CALIBRATION * P.to_bands(np.array(nb), np.array(e), hz)[0] for nb, e in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(made, pa.list_(pa.float64()))], names=["stream_id", "channel", "granule", "xmin"])
 
     return cap.join(raw.select("stream_id", "channel", "granule", "energy"), ["stream_id", "channel", "granule"]).mapInArrow(bands, "stream_id long, channel int, granule long, xmin array<double>")

@@ -32,17 +32,30 @@ def sliding_energy(samples: DataFrame, window: int = 1024, hop: int = 576) -> Da
     return spread.groupBy("w").agg(F.count(F.lit(1)).alias("n_samples"), F.sum(F.col("v") * F.col("v")).alias("energy"))
 
 
-def previous(df: DataFrame, column: str, size: int, key: list[str], order: str) -> Column:
-    """The row before of the same key, or silence."""
-    return F.coalesce(F.lag(column).over(Window.partitionBy(*key).orderBy(order)), F.array_repeat(F.lit(0.0), size))
+def pre_echo(thresholds: DataFrame, key: list[str], order: str, value: str, floor: Column, name: str) -> DataFrame:
+    """Adds the capped threshold: no more than twice the last or 16 times the one before, never under the floor.
+
+    The floor is part of the recurrence. Floored values are never under it, so twice the last is not either, 16 times the one
+    before never binds, and unrolled the cap is the min over j >= 0 of 2^j floored[k - j]: a running minimum of log2 - k.
+    """
+    w = Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    low = F.min(F.log2(F.greatest(F.col(value), floor)) - F.col(order)).over(w)
+    return thresholds.withColumn(name, F.pow(F.lit(2.0), F.col(order) + low))
 
 
 def with_previous(granules: DataFrame, key: list[str] | None = None, name: str = "prev") -> DataFrame:
-    """Adds the granule before by an equi-join on granule + 1: no global sort, whatever the length of the signal."""
+    """Adds the granule before: every granule goes to its own place and to the next one, and one aggregation brings them together.
+
+    No global sort, whatever the length of the signal, and what comes before is worked out once.
+    """
     keys = key or []
-    before = granules.select(*keys, (F.col("granule") + 1).alias("granule"), F.col("x").alias(name))
-    size = F.size("x")
-    return granules.join(before, [*keys, "granule"], "left").withColumn(name, F.coalesce(name, F.array_repeat(F.lit(0.0), size)))
+    rest = [c for c in granules.columns if c not in (*keys, "granule")]
+    own, past = F.struct(*rest), F.col("x")
+    nothing = [F.lit(None).cast(granules.select(c).schema[0].dataType) for c in (own, past)]
+    to = F.array(F.struct("granule", own.alias("own"), nothing[1].alias("past")), F.struct((F.col("granule") + 1).alias("granule"), nothing[0].alias("own"), past.alias("past")))
+    met = granules.select(*keys, F.explode(to).alias("to")).groupBy(*keys, F.col("to.granule").alias("granule")).agg(F.first("to.own", ignorenulls=True).alias("own"), F.first("to.past", ignorenulls=True).alias("past"))
+    silence = F.array_repeat(F.lit(0.0), F.size("own.x"))
+    return met.where("own is not null").select(*keys, "granule", *[F.col(f"own.{c}") for c in rest], F.coalesce("past", silence).alias(name))
 
 
 def mdct(granules: DataFrame, n: int = 18, key: list[str] | None = None) -> DataFrame:

@@ -233,17 +233,29 @@ def q_perceptual_entropy(spark, d):
     return t.groupBy("vec_id").agg((F.round(F.sum(F.when((F.col("nb") > 0) & (F.col("e") / F.col("nb") > 1), 2 * F.log2(F.col("e") / F.col("nb"))).otherwise(0.0)), 3) + 0.0).alias("pe_bits"))
 
 
+#: A floor for q_pre_echo_floor that binds for some of the partitions.
+QUIET = 0.05
+
+
+def _capped(spark, d, floor: float):
+    t = thresholds(spread(spark, d)).withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy("vec_id")))
+    capped = S.pre_echo(t, ["b"], "k", "nb", F.lit(floor), "capped")
+    return capped.select("vec_id", "b", (F.round("capped", 3) + 0.0).alias("capped"))
+
+
 @query(f"""WITH RECURSIVE {_PART}, {_SPREAD}, {_NB}, seq AS (SELECT vec_id, b, nb AS raw, row_number() OVER (PARTITION BY b ORDER BY vec_id) AS k FROM nb),
 rec AS (SELECT b, k, vec_id, raw AS c, raw AS p1, NULL::DOUBLE AS p2 FROM seq WHERE k = 1 UNION ALL
 SELECT s.b, s.k, s.vec_id, least(s.raw, 2 * r.c, coalesce(16 * r.p2, 2 * r.c)) AS c, s.raw, r.c FROM rec r JOIN seq s ON s.b = r.b AND s.k = r.k + 1)
 SELECT vec_id, b, round(c, 3) + 0.0 AS capped FROM rec""")
 def q_pre_echo(spark, d):
-    """Thresholds may not rise above twice the last or 16 times the one before, a recurrence on its own output.
-
-    Unrolled it is c[k] = min over j >= 0 of 2^j raw[k - j] (16 never binds, for the one before is at least half the last), so in
-    log2 a running minimum of log2(raw) - k: a window, not a fold over the stream.
-    """
-    w = Window.partitionBy("b").orderBy("vec_id")
-    t = thresholds(spread(spark, d)).withColumn("k", F.row_number().over(w))
-    low = F.min(F.log2("nb") - F.col("k")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return t.select("vec_id", "b", (F.round(F.pow(F.lit(2.0), F.col("k") + low), 3) + 0.0).alias("capped"))
+    """Thresholds may not rise above twice the last or 16 times the one before, a recurrence on its own output."""
+    return _capped(spark, d, 0.0)
+
+
+@query(f"""WITH RECURSIVE {_PART}, {_SPREAD}, {_NB}, seq AS (SELECT vec_id, b, nb AS raw, row_number() OVER (PARTITION BY b ORDER BY vec_id) AS k FROM nb),
+rec AS (SELECT b, k, vec_id, greatest(raw, {QUIET}) AS c, raw AS p1, NULL::DOUBLE AS p2 FROM seq WHERE k = 1 UNION ALL
+SELECT s.b, s.k, s.vec_id, greatest({QUIET}, least(s.raw, 2 * r.c, coalesce(16 * r.p2, 2 * r.c))) AS c, s.raw, r.c FROM rec r JOIN seq s ON s.b = r.b AND s.k = r.k + 1)
+SELECT vec_id, b, round(c, 3) + 0.0 AS capped FROM rec""")
+def q_pre_echo_floor(spark, d):
+    """The same with the threshold in quiet inside the recurrence, as the encoder has it."""
+    return _capped(spark, d, QUIET)
