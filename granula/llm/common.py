@@ -69,23 +69,28 @@ def ascii_lower(text):
     return F.translate(text, UPPER, LOWER)
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether no node of the distinct pairs (u, v) has two parents v or is both child and parent."""
+    ends = pairs.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(pairs.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).agg(F.count_if(F.expr("up > 1 or (up > 0 and down > 0)"))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star contraction.
 
     edges(a, b): undirected links. Returns (node, root) for every node with a link, root the smallest node reachable.
     A round is two aggregations and two joins on the edge list; no adjacency list is gathered. The minima are written before they
     are joined, so that both sides of the join are plain exchanges and adaptive execution can split the rows of a hub. Every
-    round but the last brings some node to a smaller parent, so the rounds end.
+    round brings some node to a smaller parent; the rounds end when the links are stars: no node has two parents or is a
+    parent and a child, so that the parent is the smallest node of its component.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs, seen, now = durable(pairs), None, ()
-    while now != seen:
-        seen = now
+    pairs = durable(pairs)
+    while not _stars(pairs):
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = durable(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first())
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
