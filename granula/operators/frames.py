@@ -144,6 +144,25 @@ def cbr_samples(length: Column, trailer: Column, start: Column, first_frame: Col
     return F.when((span > 0) & (first_frame > 0), F.floor(span / first_frame) * per_frame).otherwise(0).cast("long")
 
 
+def samples_by_rate(hz: Column) -> Column:
+    """Samples of a Layer III frame by its rate alone."""
+    return F.when(hz >= 32000, 1152).otherwise(576)
+
+
+def apply_lame(total: Column, delay: Column, padding: Column) -> dict[str, Column]:
+    """Trim window and playable samples. total: raw samples by a tag's frame count; delay, padding: both NULL without the extension.
+
+    Without a total only the head is trimmed and the samples are 0, unknown; a NULL kept_to is open.
+    """
+    known = delay.isNotNull() & total.isNotNull()
+    trimmed = F.greatest(F.lit(0).cast("long"), total - delay - padding)
+    return {
+        "kept_from": F.coalesce(delay, F.lit(0)).cast("long"),
+        "kept_to": F.when(known, total - F.least(padding, total)),
+        "samples": F.when(known, trimmed).when(delay.isNotNull(), 0).otherwise(total).cast("long"),
+    }
+
+
 def duration_ns(samples: Column, hz: Column) -> Column:
     """Whole seconds and remainder apart; NULL when unknown."""
     return F.when((samples > 0) & (hz > 0), F.floor(samples / hz).cast("long") * 1_000_000_000 + F.floor((samples % hz) * 1_000_000_000 / hz).cast("long"))

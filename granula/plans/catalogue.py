@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from granula.plans import codec_queries, coding_queries, frame_queries, more_queries, registry, signal_queries  # noqa: F401  they register themselves
+from granula.plans import codec_queries, coding_queries, frame_queries, more_queries, playback_queries, registry, signal_queries  # noqa: F401  they register themselves
 
 flagship = signal_queries.q_mdct18
 

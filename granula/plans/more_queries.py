@@ -42,8 +42,9 @@ def q_apply_tags(spark, d):
     """Totals and trim windows from tags: kind 0 carries delay and padding, others only a frame count; 0 frames is unknown."""
     t = table(spark, d, "events").select(F.col("event_id").alias("n"), (F.col("event_id") % 3).alias("kind"), (F.col("event_id") % 400).alias("frames"), ((F.col("event_id") * 7) % 4096).alias("delay"), ((F.col("event_id") * 13) % 4096).alias("pad"))
     t = t.withColumn("total", F.when(F.col("frames") > 0, F.col("frames") * 1152))
-    trimmed = F.when(F.col("total").isNotNull(), F.greatest(F.lit(0), F.col("total") - F.col("delay") - F.col("pad")))
-    return t.select("n", F.col("delay").alias("kept_from"), F.when((F.col("kind") == 0) & F.col("total").isNotNull(), F.col("total") - F.least("pad", "total")).alias("kept_to"), F.when(F.col("kind") == 0, F.coalesce(trimmed, F.lit(0))).otherwise(F.col("total")).alias("samples"))
+    lame = F.col("kind") == 0
+    trim = R.apply_lame(F.col("total"), F.when(lame, F.col("delay")), F.when(lame, F.col("pad")))
+    return t.select("n", F.col("delay").alias("kept_from"), trim["kept_to"].alias("kept_to"), trim["samples"].alias("samples"))
 
 
 @query("WITH g AS (SELECT unnest(range(1, 15)) AS bi), r AS (SELECT bi, unnest(range(0, 3)) AS ri FROM g), p AS (SELECT bi, ri, unnest(range(0, 2)) AS pad FROM r), m AS (SELECT *, unnest([0, 1, 3]) AS mode FROM p), e AS (SELECT *, unnest(CASE WHEN mode = 1 THEN [0, 2] ELSE [0] END) AS ext FROM m) SELECT bi, ri, pad, mode::BIGINT AS mode, ext::BIGINT AS ext, lower(printf('%08X', 4294639616 + bi * 4096 + ri * 1024 + pad * 512 + mode * 64 + ext * 16 + 4)) AS header FROM e")
