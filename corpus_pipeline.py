@@ -19,6 +19,8 @@ ORACLE_SQL = None
 TOXIC_AT = 0.7
 #: Near copies: Jaccard similarity of five-word shingles.
 SIMILARITY, SHINGLE = 0.8, 5
+#: Bits within which the pigeonring looks for them.
+RADIUS = 6
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,10 +37,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: that with the least doc_id (null last), then the least text hash.
 
+    Candidates are SimHashes of the five-word shingle sets within RADIUS bits, found by pigeonring chains and checked exactly; copies
+    that lie further apart are found by shared shingles.
     Texts without words, null ones too, are copies of each other; of rows equal in doc_id and text one stays, the least by a hash
     of all columns; very long texts are compared whole; an empty table stays empty; all columns are carried.
     """
-    return simhash_dedup.keep_similar(docs, SIMILARITY, SHINGLE)
+    return simhash_dedup.keep_similar(docs, SIMILARITY, SHINGLE, RADIUS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

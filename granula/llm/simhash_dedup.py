@@ -6,6 +6,9 @@ every l. So that segment is equal, the next differs in at most one bit (one of i
 brings the sum to at most two (one of its three parts is equal). Those equal parts are the join key; inside a bucket the
 chain budgets are tested before the full Hamming distance.
 
+Two uses: `near_duplicates` links fingerprints as they are (`links`); `keep_similar` takes the pairs that the ring finds as candidates
+and links those that an exact check of their shingle sets confirms (`ring_links`), then adds what lies beyond the radius (`similar_links`).
+
 Defined results: a null text counts as empty; a text without words has fingerprint zero, which links like any other; a null
 doc_id keeps its row, joins its component, and never is the component's smallest id unless all ids there are null. Rows may
 repeat; a very long text is hashed in pieces; ties of a bit (set in just half the hashes) are 0. Extra columns are not carried by
@@ -23,13 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granula.llm.common import columns, components, durable, fresh
-from granula.llm.similar_links import SHINGLE, SIMILARITY, shingled, similar_links
+from granula.llm.similar_links import SHINGLE, SIMILARITY, classes, majority, possible, shingled, similar_links, verified
 
 BITS = 64
 #: Runs of one key up to this many rows are compared by shifted arrays; longer ones by a search that emits a spanning forest.
 SHORT_RUN = 16
 #: A key with more rows than this is dealt out as pairs of blocks of this size.
 BLOCK = 4096
+#: Where all pairs are wanted: runs up to LAGS rows are compared by shifted arrays, longer ones SLICE rows at a time.
+LAGS, SLICE = 64, 64
+#: Bits within which near copies by shingles are looked for by the ring; of one more, keys would be too short to part a large table.
+RADIUS = 6
 
 
 def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -44,10 +51,7 @@ def simhash(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     count = len(words) - size + 1
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[i:j], seed) for i, j in zip(starts[:count].tolist(), ends[size - 1 :].tolist(), strict=True)], dtype=np.uint64)
-    ones = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, count, 1 << 14):  # a very long text never unpacks at once
-        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, BITS).sum(axis=0, dtype=np.int32)
-    return int(np.packbits(ones * 2 > count, bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -174,6 +178,21 @@ def chain_depth(distinct: int, radius: int = 3) -> int:
     return radius + 1
 
 
+def _hot(keyed: DataFrame) -> DataFrame:
+    """(key, blocks) of the keys with more than BLOCK rows."""
+    return keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+
+
+def _dealt(keyed: DataFrame, hot: DataFrame) -> DataFrame:
+    """keyed with the keys of `hot` split into pairs of blocks; all of keyed's columns, fp among them."""
+    return (
+        keyed.join(hot, "key", "left")
+        .withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("fp"), "blocks")))
+        .withColumn("other", F.explode(F.expr("if(blocks is null, array(-1L), sequence(0L, blocks - 1))")))
+        .select(F.expr("if(blocks is null, key, xxhash64(key, least(own, other), greatest(own, other)))").alias("key"), *[c for c in keyed.columns if c != "key"])
+    )
+
+
 def links(fps: DataFrame, radius: int = 3, depth: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints, enough of them to connect every pair within `radius` bits.
 
@@ -182,13 +201,7 @@ def links(fps: DataFrame, radius: int = 3, depth: int | None = None) -> DataFram
     """
     keys = chain_keys(radius, depth or chain_depth(fps.count(), radius))
     keyed = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(start).alias("start"), F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(_signed(mask)))).alias("key")) for n, (start, mask) in enumerate(keys)])).alias("k")).select("k.key", "k.start", "fp")
-    hot = keyed.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).alias("blocks"))
-    dealt = (
-        keyed.join(hot, "key", "left")
-        .withColumn("own", F.when(F.col("blocks").isNotNull(), F.pmod(F.xxhash64("fp"), "blocks")))
-        .withColumn("other", F.explode(F.expr("if(blocks is null, array(-1L), sequence(0L, blocks - 1))")))
-        .select(F.expr("if(blocks is null, key, xxhash64(key, least(own, other), greatest(own, other)))").alias("key"), "start", "fp")
-    )
+    dealt = _dealt(keyed, _hot(keyed))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_linker(radius), "a long, b long")
 
@@ -209,11 +222,127 @@ def keep_one(docs: DataFrame, shingle: int = 3, radius: int = 3, depth: int | No
     return keep_first(docs, narrow, links(narrow.select("fp").distinct(), radius, depth))
 
 
-def keep_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """As keep_one, of groups linked by Jaccard similarity of word shingles; every link is verified and none is missed."""
+def ring_depth(distinct: int, radius: int) -> int:
+    """Segments a key looks at where all pairs are wanted: fewest comparisons, a key's row weighed as 300 of them. The pairs are the same at any depth."""
+
+    def cost(depth: int) -> float:
+        keys = chain_keys(radius, depth)
+        return len(keys) * (300 + distinct / 2 ** min(mask.bit_count() for _, mask in keys))
+
+    return min(range(1, min(radius + 1, 5) + 1), key=cost)
+
+
+def _chained(diff: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Where the chain keeps its budgets, segment after segment; the whole ring's is the full distance. masks: of one start, or a row each."""
+    at = np.arange(len(diff))
+    for step in range(1, masks.shape[-1]):
+        some = diff if step == 1 else diff[at]
+        at = at[np.bitwise_count(some & (masks[step] if masks.ndim == 1 else masks[at, step])) <= step]
+    return at
+
+
+def _pairer(radius: int, similarity: float, first: bool):
+    """Rows (key, start, fp, bits, n, root) sorted by (key, fp) to the pairs of one key, in unlike components, that lie within `radius`
+    bits and fit in size; with `first` only one or two pairs of each row that has any: that with the least fp before it, else after it."""
+    masks = ring_masks(radius)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def least(i: np.ndarray, j: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Of every j the least i; then of every i that is in no pair yet the least j."""
+            if not first:
+                return i, j
+            order = np.lexsort((i, j))
+            v, at = np.unique(j[order], return_index=True)
+            u = i[order][at]
+            seen[u] = seen[v] = True
+            order = np.flatnonzero(~seen[i])
+            order = order[np.lexsort((j[order], i[order]))]
+            w, at = np.unique(i[order], return_index=True)
+            seen[w] = True
+            return np.concatenate((u, w)), np.concatenate((v, j[order][at]))
+
+        def pairs(key, start, fp, bits, n, root) -> pa.RecordBatch:
+            edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+            length, bits, found = np.diff(edge), bits.view(np.uint64), [(np.empty(0, np.int64),) * 2]
+            seen = np.zeros(len(key), dtype=bool)
+
+            def kept(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                good = (i < j) & (root[i] != root[j]) & (np.minimum(n[i], n[j]) + 1e-9 >= similarity * np.maximum(n[i], n[j]))
+                return i[good], j[good]
+
+            short = np.repeat(length <= LAGS, length)
+            for lag in range(1, LAGS):
+                i = np.flatnonzero((key[lag:] == key[:-lag]) & short[lag:])
+                if not len(i):
+                    break
+                i = i[_chained(bits[i] ^ bits[i + lag], masks[start[i]])]
+                found.append(kept(i, i + lag))
+            found = [least(*map(np.concatenate, zip(*found, strict=True)), seen)]
+            for k in np.flatnonzero(length > LAGS):
+                low, high = int(edge[k]), int(edge[k + 1])
+                for row in range(low, high, SLICE):
+                    end = min(row + SLICE, high)
+                    at = _chained((bits[row:end, None] ^ bits[None, low:end]).ravel(), masks[start[low]])
+                    found.append(least(*kept(low + at % (end - low), row + at // (end - low)), seen))
+            i, j = map(np.concatenate, zip(*found, strict=True))
+            a, b = fp[i], fp[j]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [c.to_numpy() for c in batch.columns]
+            held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
+            last = int(np.searchsorted(held[0], held[0][-1], side="left"))
+            if last:
+                yield pairs(*(x[:last] for x in held))
+                held = [x[last:] for x in held]
+        if held is not None:
+            yield pairs(*held)
+
+    return run
+
+
+def ring_pairs(rows: DataFrame, similarity: float, radius: int, depth: int, first: bool) -> DataFrame:
+    """(a, b): the pairs of `fp` in unlike components whose `bits` lie within `radius` and whose sizes fit; with `first` one at least of
+    every row that has any, in number linear in the rows. rows(fp, bits, n, root)."""
+    keys = F.array(*[F.struct(F.lit(start).alias("start"), F.xxhash64(F.lit(k), F.col("bits").bitwiseAND(F.lit(_signed(mask)))).alias("key")) for k, (start, mask) in enumerate(chain_keys(radius, depth))])
+    keyed = rows.withColumn("k", F.explode(keys)).select("k.key", "k.start", "fp", "bits", F.col("n").cast("long").alias("n"), "root")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = _dealt(keyed, F.broadcast(_hot(keyed)))
+    return dealt.repartition(parts, "key").sortWithinPartitions("key", "fp").mapInArrow(_pairer(radius, similarity, first), "a long, b long").distinct()
+
+
+def ring_links(sets: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, depth: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) between the `fp` of sets whose SimHashes lie within `radius` bits and whose Jaccard similarity, checked exactly, is at
+    least `similarity`, and further pairs within the radius that are still to be checked: enough to connect every such pair.
+
+    First each set is tried with one or two others in each of its keys, which joins large groups in linear time and tells the sets that
+    have any near one; the further pairs are all pairs of those that are not connected yet. sets: classes(shingled(docs)).
+    """
+    depth = depth or ring_depth(sets.count(), radius)
+    rows = sets.select("fp", "bits", "n")
+    tried = durable(ring_pairs(rows.withColumn("root", F.col("fp")), similarity, radius, depth, True))
+    linked = verified(possible(tried, sets, similarity), sets, docs, similarity, shingle)
+    near = rows.join(tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
+    roots = components(linked)
+    linked = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    near = durable(near.join(roots, near.fp == roots.node, "left").select("fp", "bits", "n", F.coalesce("root", "fp").alias("root")))
+    return linked, durable(ring_pairs(near, similarity, radius, depth, False).join(tried, ["a", "b"], "left_anti"))
+
+
+def keep_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """As keep_one, of groups linked by Jaccard similarity of word shingles; every link is verified and none is missed.
+
+    Candidates are the SimHashes of the shingle sets within `radius` bits, by pigeonring chains; as alike sets may lie further apart, only
+    those pairs beyond the radius are found by shared prefixes of the sets.
+    """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = shingled(keyed, shingle, similarity)
-    return keep_first(docs, sets.select("doc_id", "th", "fp"), similar_links(sets, keyed, similarity, shingle))
+    rows = shingled(keyed, shingle, similarity)
+    sets = classes(rows)
+    linked, pairs = ring_links(sets, keyed, similarity, shingle, radius)
+    return keep_first(docs, rows.select("doc_id", "th", "fp"), similar_links(sets, keyed, linked, pairs, radius, similarity, shingle))
 
 
 def keep_first(docs: DataFrame, narrow: DataFrame, linked: DataFrame) -> DataFrame:

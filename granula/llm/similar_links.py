@@ -1,4 +1,7 @@
-"""Exact links between texts of like five-word shingles: a prefix-filter join, verified set by set.
+"""The exact check of near copies by five-word shingles, and the links that lie beyond a SimHash radius: a prefix-filter join, verified set by set.
+
+Near copies are looked for by SimHash and pigeonring chains (`simhash_dedup.ring_links`), and each pair found is verified here. No
+radius covers every two texts alike, so what lies beyond it is found by the join below; pairs within the radius are left to the ring.
 
 Shingles are put in one global order (those frequent in a sample last, the others by hash). Two sets with Jaccard similarity of
 at least t share a shingle among the first n - ceil(t n) + 1 of each, whatever the order is; so no pair is lost, and the sample
@@ -63,19 +66,28 @@ def parities(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The SimHash of some hashes: bit i is one if it is set in over half of them."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), 1 << 14):  # a very long text never unpacks at once
+        ones += np.unpackbits(hashes[at : at + (1 << 14)].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int32)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def shingled(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, th, fp, n, sign, keys) of every row: text hash, hash, size and signature of its shingle set, the set's prefix. docs: doc_id long, text."""
+    """(doc_id, th, fp, n, bits, sign, keys) of every row: text hash, hash, size, SimHash and signature of its shingle set, the set's prefix. docs: doc_id long, text."""
     last = _frequent(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 128):
                 part = batch.slice(i, 128)
-                fps, sizes, keys, signs = [], [], [], []
+                fps, sizes, bits, keys, signs = [], [], [], [], []
                 for text in part.column(2).to_pylist():
                     s = shingle_set(text, shingle)
                     fps.append(xxhash.xxh64_intdigest(s.tobytes()))
                     sizes.append(len(s))
+                    bits.append(majority(s))
                     signs.append(parities(s))
                     if len(last):
                         often = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
@@ -83,10 +95,10 @@ def shingled(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILA
                     keys.append(s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1].view(np.int64))
                 ends = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(signs, pa.list_(pa.int64())), lists], names=["doc_id", "th", "fp", "n", "sign", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.array(np.array(bits, dtype=np.uint64).view(np.int64)), pa.array(signs, pa.list_(pa.int64())), lists], names=["doc_id", "th", "fp", "n", "bits", "sign", "keys"])
 
     rows = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text")
-    return stored(rows.mapInArrow(run, "doc_id long, th long, fp long, n int, sign array<long>, keys array<long>"))
+    return stored(rows.mapInArrow(run, "doc_id long, th long, fp long, n int, bits long, sign array<long>, keys array<long>"))
 
 
 def _filter(ids: DataFrame) -> np.ndarray:
@@ -101,14 +113,19 @@ def _filter(ids: DataFrame) -> np.ndarray:
 
 
 def classes(sets: DataFrame) -> DataFrame:
-    """(fp, th, n, sign, keys) of every different set, th of one of its texts. Copies are aggregated before the exchange: a hot set is a row a task there."""
-    return stored(sets.groupBy("fp").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("n", "sign", "keys")]))
-
-
-def possible(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The (a, b) of `pairs` that their signatures allow to be alike. sets: classes(...)."""
-    one = stored(sets.select("fp", "n", "sign").join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"))
-    both = pairs.join(one.select(F.col("fp").alias("a"), F.col("n").alias("m"), F.col("sign").alias("x")), "a").join(one.select(F.col("fp").alias("b"), "n", F.col("sign").alias("y")), "b")
+    """(fp, th, n, bits, sign, keys) of every different set, th of one of its texts. Copies are aggregated before the exchange: a hot set is a row a task there."""
+    return stored(sets.groupBy("fp").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("n", "bits", "sign", "keys")]))
+
+
+def possible(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, beyond: int | None = None) -> DataFrame:
+    """The (a, b) of `pairs` that their signatures allow to be alike; with `beyond`, only those whose SimHashes differ in more bits. sets: classes(...)."""
+    if pairs.isEmpty():
+        return pairs
+    bits = F.lit(0).cast("long") if beyond is None else F.col("bits")
+    one = stored(sets.select("fp", "n", "sign", bits.alias("bits")).join(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi"))
+    both = pairs.join(one.select(F.col("fp").alias("a"), F.col("n").alias("m"), F.col("sign").alias("x"), F.col("bits").alias("v")), "a").join(one.select(F.col("fp").alias("b"), "n", F.col("sign").alias("y"), F.col("bits").alias("w")), "b")
+    if beyond is not None:
+        both = both.where(F.bit_count(F.col("v").bitwiseXOR(F.col("w"))) > beyond)
     size = F.least(F.size("x"), F.size("y"))
 
     def folded(c: str) -> Column:
@@ -121,6 +138,8 @@ def possible(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
     """The (a, b) of `pairs` whose sets are alike; the sets are made again from the texts of the rows in question alone. sets: classes(...)."""
+    if pairs.isEmpty():
+        return pairs
     ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
     named = durable(sets.select("fp", "th").join(ids, "fp", "left_semi").select("th"))
     wanted = _filter(named)
@@ -227,24 +246,35 @@ def bucket_pairs(left: DataFrame, sets: DataFrame, similarity: float = SIMILARIT
     return dealt.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_pairer(similarity), "a long, b long").distinct()
 
 
-def similar_links(sets: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
-    """(a, b): links between the `fp` of sets with Jaccard similarity of at least `similarity`, enough to connect every such pair. sets: shingled(docs)."""
-    sets = classes(sets)
-    keyed = sets.select("fp", "n", F.explode("keys").alias("key"))
+def similar_links(sets: DataFrame, docs: DataFrame, known: DataFrame, pairs: DataFrame, radius: int, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): `fp` of sets in one group of those linked by Jaccard similarity of at least `similarity`, enough to connect every group.
+
+    known: links within `radius` bits of SimHash, verified; pairs: those within it that are still to be verified. The join looks at
+    pairs beyond the radius alone. sets: classes(shingled(docs)).
+    """
+    keyed = sets.select("fp", "n", "bits", F.explode("keys").alias("key"))
     shared = stored(keyed.withColumn("holders", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("holders > 1"))
+
+    def named(roots: DataFrame, *names: str) -> DataFrame:
+        return shared.join(roots, shared.fp == roots.node, "left").select(*names, F.coalesce("root", "fp").alias("root"))
+
+    roots = components(known)
+    begun = named(roots, "key", "fp", "n", "bits")
     mass = shared.groupBy("fp").agg(F.sum("holders").alias("mass"))
-    heads = shared.join(mass, "fp").groupBy("key").agg(F.max(F.struct("mass", "fp", "n")).alias("centre"), F.min(F.struct("fp", "n")).alias("least"))
+    heads = begun.join(mass, "fp").groupBy("key").agg(F.max(F.struct("mass", "fp", "n", "bits", "root")).alias("centre"), F.min(F.struct("fp", "n", "bits", "root")).alias("least"))
 
     def fits(n, m):
         return (F.least(n, m) + 1e-9 >= similarity * F.greatest(n, m))
 
-    stars = shared.join(heads, "key").select("fp", "n", F.explode(F.array(F.struct("centre.fp", "centre.n"), F.struct("least.fp", "least.n"))).alias("h"))
-    stars = stars.where((F.col("fp") != F.col("h.fp")) & fits(F.col("n"), F.col("h.n"))).select(F.least("fp", "h.fp").alias("a"), F.greatest("fp", "h.fp").alias("b")).distinct()
-    tried = durable(stars)
+    head = [F.struct(*[f"{h}.{c}" for c in ("fp", "n", "bits", "root")]) for h in ("centre", "least")]
+    stars = begun.join(heads, "key").select("fp", "n", "bits", "root", F.explode(F.array(*head)).alias("h"))
+    beyond = F.bit_count(F.col("bits").bitwiseXOR(F.col("h.bits"))) > radius
+    stars = stars.where((F.col("root") != F.col("h.root")) & fits(F.col("n"), F.col("h.n")) & beyond).select(F.least("fp", "h.fp").alias("a"), F.greatest("fp", "h.fp").alias("b")).distinct()
+    tried = durable(stars.union(pairs))
     first = verified(possible(tried, sets, similarity), sets, docs, similarity, shingle)
-    roots = components(first)
-    named = shared.join(roots, shared.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    apart = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    left = stored(named.join(apart, "key", "left_semi"))
-    pairs = durable(bucket_pairs(left, sets, similarity).join(tried, ["a", "b"], "left_anti"))
-    return first.union(verified(possible(pairs, sets, similarity), sets, docs, similarity, shingle))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(first))
+    parted = named(roots, "key", "fp", "n")
+    apart = parted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    left = stored(parted.join(apart, "key", "left_semi"))
+    rest = durable(bucket_pairs(left, sets, similarity).join(tried, ["a", "b"], "left_anti"))
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(possible(rest, sets, similarity, radius), sets, docs, similarity, shingle))

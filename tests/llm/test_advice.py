@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from granula.llm import decontamination, mixing, similar_links, toxicity
+from granula.llm import decontamination, mixing, simhash_dedup, similar_links, toxicity
 from granula.llm.common import table
 
 
@@ -118,3 +118,73 @@ def test_large_groups_lose_no_link(spark, monkeypatch, block):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert kept == sorted(set(at)) and len(kept) > 1
+
+
+def grouped(n, pairs):
+    """The least member of each one's group."""
+    at = list(range(n))
+    for i, j in pairs:
+        lo, hi = sorted((at[i], at[j]))
+        at = [lo if x == hi else x for x in at]
+    return at
+
+
+@pytest.fixture(scope="module")
+def edits():
+    """Texts with copies of 0 to 12 changed words in turn, a large group among them; their sets and all pairs alike with their distance in bits."""
+    rng, rows = random.Random(12), []
+    for size, copies in [(200, 90)] + [(rng.randint(30, 200), 5) for _ in range(25)]:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        for n in range(copies):
+            words = list(base)
+            for k in rng.sample(range(size), rng.randint(0, max(1, size // 50)) if n else 0):
+                words[k] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    sets = [similar_links.shingle_set(t) for _, t in rows]
+    bits = [similar_links.majority(s) for s in sets]
+    alike = {}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            shared = len(np.intersect1d(a, sets[j]))
+            if shared >= 0.8 * (len(a) + len(sets[j]) - shared):
+                alike[(j, i)] = (bits[i] ^ bits[j]).bit_count()
+    assert 500 < sum(d <= corpus_pipeline.RADIUS for d in alike.values()) < len(alike) - 500
+    return rows, sets, alike
+
+
+@pytest.mark.parametrize("depth,block,lags", [(1, 4096, 64), (2, 4096, 64), (3, 8, 2)])
+def test_ring_and_rest_part_the_links(spark, monkeypatch, edits, depth, block, lags):
+    """The ring's links connect just the pairs alike within the radius; with the join's, all pairs alike."""
+    for module in (simhash_dedup, similar_links):
+        monkeypatch.setattr(module, "BLOCK", block)
+    monkeypatch.setattr(simhash_dedup, "LAGS", lags)
+    rows, sets, alike = edits
+    radius, names = corpus_pipeline.RADIUS, {}
+    for i, s in enumerate(sets):
+        names.setdefault(int(np.uint64(similar_links.xxhash.xxh64_intdigest(s.tobytes())).astype(np.int64)), i)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    unlike = similar_links.classes(similar_links.shingled(docs))
+    pairs = lambda df: {tuple(sorted((names[r.a], names[r.b]))) for r in df.collect()}
+    same = [(i, j) for (i, j), d in alike.items() if sets[i].tobytes() == sets[j].tobytes()]
+    linked, more = simhash_dedup.ring_links(unlike, docs, radius=radius, depth=depth)
+    near = linked.union(similar_links.verified(similar_links.possible(more, unlike), unlike, docs))
+    ring = pairs(near)
+    assert grouped(len(rows), [*same, *ring]) == grouped(len(rows), [p for p, d in alike.items() if d <= radius])
+    every = pairs(similar_links.similar_links(unlike, docs, near, more.limit(0), radius))
+    assert grouped(len(rows), [*same, *every]) == grouped(len(rows), alike)
+
+
+def test_stage_goes_by_the_ring(spark, monkeypatch, edits):
+    """Copies within the radius go by SimHash and pigeonring alone, not by the join beside it; copies further apart by the join alone."""
+    rows, sets, alike = edits
+    docs, radius = spark.createDataFrame(rows, "doc_id long, text string"), corpus_pipeline.RADIUS
+    kept = lambda: [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").orderBy("doc_id").collect()]
+    want = lambda pairs: sorted(set(grouped(len(rows), pairs)))
+    assert kept() == want(alike)
+    none, rest = spark.createDataFrame([], "a long, b long"), simhash_dedup.similar_links
+    ring_alone = lambda sets, docs, known, pairs, *a: known.union(similar_links.verified(similar_links.possible(pairs, sets), sets, docs))
+    monkeypatch.setattr(simhash_dedup, "similar_links", ring_alone)
+    assert kept() == want([p for p, d in alike.items() if d <= radius])
+    monkeypatch.setattr(simhash_dedup, "similar_links", rest)
+    monkeypatch.setattr(simhash_dedup, "ring_links", lambda *a: (none, none))
+    assert kept() == want([p for p, d in alike.items() if d > radius or sets[p[0]].tobytes() == sets[p[1]].tobytes()])
