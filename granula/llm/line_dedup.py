@@ -34,8 +34,8 @@ from granula.llm.common import stored
 
 MIN_WORDS = 50
 LINE = r"[^.!?\n]*[.!?\n]+[ \t\n]*|[^.!?\n]+$"
-_LINE, _SPACE = re.compile(LINE), " \t\n\r\x0b\x0c"
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: The same over UTF-8, as LINE names ASCII alone. A piece's words are those of bytes.split, which knows ASCII's white space only.
+_LINE, _BYTES = re.compile(LINE), re.compile(LINE.encode())
 
 
 def units(text: str | None) -> list[str]:
@@ -44,13 +44,18 @@ def units(text: str | None) -> list[str]:
 
 def winnow(pieces: list[str], min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
     """(start, end, chosen unit, its hash, window hash) of every window; units are indexes of `pieces`, ends inclusive."""
-    sizes = [len(_WORD.findall(p)) for p in pieces]
+    return _winnow([p.encode("utf-8", "surrogatepass") for p in pieces], min_words)
+
+
+def _winnow(pieces: list[bytes], min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    sizes = [len(p.split()) for p in pieces]
+    if sum(sizes) < min_words:
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
     index = [i for i, n in enumerate(sizes) if n]
     n = np.array([sizes[i] for i in index], dtype=np.int64)
-    if n.sum() < min_words:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),) * 2
-    stripped = [pieces[i].strip(_SPACE).encode("utf-8", "surrogatepass") for i in index]
-    h = np.fromiter(map(xxhash.xxh64_intdigest, stripped), dtype=np.uint64, count=len(stripped))
+    digest = xxhash.xxh64_intdigest
+    values = [digest(pieces[i].strip()) for i in index]
+    h = np.array(values, dtype=np.uint64)
     upto = np.concatenate(([0], np.cumsum(n)))
     # the shortest windows from s end at first[s]; those back from e start at s for e from first[s] to before first[s + 1]
     first = np.append(np.searchsorted(upto, upto[:-1] + min_words, side="left") - 1, len(n))
@@ -58,9 +63,9 @@ def winnow(pieces: list[str], min_words: int = MIN_WORDS) -> tuple[np.ndarray, .
     many = np.maximum(1, first[whole + 1] - first[whole])
     start = np.repeat(whole, many)
     end = first[start] + np.arange(len(start)) - np.repeat(np.cumsum(many) - many, many)
-    chosen, window, deque = np.empty(len(start), np.int64), np.empty(len(start), np.uint64), []
-    values, head, pushed = h.tolist(), 0, 0
-    for k, (s, e) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+    chosen, window, deque = [], [], []
+    raw, head, pushed = h.tobytes(), 0, 0
+    for s, e in zip(start.tolist(), end.tolist(), strict=True):
         while pushed <= e:
             while len(deque) > head and values[deque[-1]] >= values[pushed]:
                 deque.pop()
@@ -68,30 +73,32 @@ def winnow(pieces: list[str], min_words: int = MIN_WORDS) -> tuple[np.ndarray, .
             pushed += 1
         while deque[head] < s:
             head += 1
-        chosen[k] = deque[head]
-        window[k] = xxhash.xxh64_intdigest(h[s : e + 1].tobytes())
-    at = np.array(index, dtype=np.int64)
-    return at[start], at[end], chosen, h[chosen], window
+        chosen.append(deque[head])
+        window.append(digest(raw[8 * s : 8 * e + 8]))
+    at, chosen = np.array(index, dtype=np.int64), np.array(chosen, dtype=np.int64)
+    return at[start], at[end], chosen, h[chosen], np.array(window, dtype=np.uint64)
 
 
 def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a selected fingerprint position: the windows that chose it."""
-    names = ["doc_id", "h", "fp", "starts", "ends", "grams"]
     for batch in batches:
-        cols: list[list] = [[] for _ in names]
+        rows, many, long = [], [], [np.empty(0, np.int64)]
+        fp, starts, ends, grams = [[np.empty(0, np.int64)] for _ in range(4)]
+        texts = batch.column(2).cast(pa.binary())
         for i in range(0, batch.num_rows, 128):
-            part = batch.slice(i, 128)
-            for doc_id, h, text in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                start, end, chosen, least, gram = winnow(units(text))
+            for row, text in enumerate(texts.slice(i, 128).to_pylist(), i):
+                start, end, chosen, least, gram = _winnow(_BYTES.findall(text))
                 if not len(start):
                     continue
                 edge = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1], [True])))
-                least, gram = least.view(np.int64), gram.view(np.int64)
-                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                    for c, v in zip(cols, (doc_id, h, int(least[a]), start[a:b], end[a:b], gram[a:b]), strict=True):
-                        c.append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+                rows.append(row)
+                many.append(len(edge) - 1)
+                for c, v in ((long, np.diff(edge)), (fp, least[edge[:-1]].view(np.int64)), (starts, start), (ends, end), (grams, gram.view(np.int64))):
+                    c.append(v)
+        at = pa.array(np.repeat(np.array(rows, dtype=np.int64), many))
+        upto = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(long)))).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(upto, pa.array(np.concatenate(c).astype(kind))) for c, kind in ((starts, np.int32), (ends, np.int32), (grams, np.int64))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(fp)), *lists], names=["doc_id", "h", "fp", "starts", "ends", "grams"])
 
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
@@ -106,20 +113,26 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text without spans stays as it is: only its units are counted."""
     for batch in batches:
-        out = []
+        texts, spans = batch.column(1).cast(pa.binary()), batch.column(2)
+        upto, start, end = spans.offsets.to_pylist(), spans.values.field("start").to_numpy(), spans.values.field("end").to_numpy()
+        kept, counts = [], np.zeros((3, batch.num_rows), dtype=np.int64)
         for i in range(0, batch.num_rows, 128):
-            part = batch.slice(i, 128)
-            for doc_id, text, spans in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
-                pieces = units(text)
-                gone = np.zeros(len(pieces), dtype=bool)
-                for s in spans or ():
-                    gone[s["start"] : s["end"] + 1] = True
-                keep = [p for p, g in zip(pieces, gone.tolist(), strict=True) if not g or not _WORD.search(p)]
-                removed = [p for p, g in zip(pieces, gone.tolist(), strict=True) if g and _WORD.search(p)]
-                out.append((doc_id, "".join(keep), len(pieces), len(removed), sum(len(_WORD.findall(p)) for p in removed)))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "text", "n_units", "removed_units", "removed_words"])
+            for row, text in enumerate(texts.slice(i, 128).to_pylist(), i):
+                pieces = _BYTES.findall(text)
+                counts[0, row] = len(pieces)
+                if upto[row] == upto[row + 1]:
+                    kept.append(text)
+                    continue
+                edge = np.zeros(len(pieces) + 1, dtype=np.int64)
+                np.add.at(edge, start[upto[row] : upto[row + 1]], 1)
+                np.add.at(edge, end[upto[row] : upto[row + 1]] + 1, -1)
+                gone = (np.cumsum(edge[:-1]) > 0).tolist()
+                sizes = [len(p.split()) if g else 0 for p, g in zip(pieces, gone, strict=True)]
+                kept.append(b"".join([p for p, n in zip(pieces, sizes, strict=True) if not n]))
+                counts[1:, row] = sum(map(bool, sizes)), sum(sizes)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()).cast(pa.string()), *map(pa.array, counts)], names=["doc_id", "text", "n_units", "removed_units", "removed_words"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
