@@ -51,10 +51,10 @@ def kept_until_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """`df` written as Parquet in the shared folder and read again: for wide or compressible rows, of which later steps read some columns."""
     path = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     kept_until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,6 +65,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def noted(df: DataFrame) -> DataFrame:
+    """`df` stored as it is, for narrow rows that may be few: a checkpoint is read by as many tasks as wrote it, small files are read by one
+    task together. Joins with it are dealt out at any size, so that what is exchanged grows in proportion to the input."""
+    return stored(df, "none").hint("merge")
+
+
 def ascii_lower(text):
     return F.translate(text, UPPER, LOWER)
 
@@ -85,12 +91,12 @@ def components(edges: DataFrame) -> DataFrame:
     parent and a child, so that the parent is the smallest node of its component.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    pairs = durable(pairs)
+    pairs = noted(pairs)
     while not _stars(pairs):
         both = pairs.select("u", "v").union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = durable(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = durable(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = durable(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = noted(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = noted(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = noted(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = durable(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        pairs = noted(small.union(least.select("u", F.col("m").alias("v"))).distinct())
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()).hint("merge")

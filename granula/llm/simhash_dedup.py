@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granula.llm.common import columns, components, durable, fresh
+from granula.llm.common import columns, components, durable, fresh, noted
 from granula.llm.similar_links import SHINGLE, SIMILARITY, classes, majority, possible, shingled, similar_links, verified
 
 BITS = 64
@@ -323,13 +323,13 @@ def ring_links(sets: DataFrame, docs: DataFrame, similarity: float = SIMILARITY,
     """
     depth = depth or ring_depth(sets.count(), radius)
     rows = sets.select("fp", "bits", "n")
-    tried = durable(ring_pairs(rows.withColumn("root", F.col("fp")), similarity, radius, depth, True))
+    tried = noted(ring_pairs(rows.withColumn("root", F.col("fp")), similarity, radius, depth, True))
     linked = verified(possible(tried, sets, similarity), sets, docs, similarity, shingle)
     near = rows.join(tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "fp", "left_semi")
     roots = components(linked)
     linked = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    near = durable(near.join(roots, near.fp == roots.node, "left").select("fp", "bits", "n", F.coalesce("root", "fp").alias("root")))
-    return linked, durable(ring_pairs(near, similarity, radius, depth, False).join(tried, ["a", "b"], "left_anti"))
+    near = noted(near.join(roots, near.fp == roots.node, "left").select("fp", "bits", "n", F.coalesce("root", "fp").alias("root")))
+    return linked, noted(ring_pairs(near, similarity, radius, depth, False).join(tried, ["a", "b"], "left_anti"))
 
 
 def keep_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -355,14 +355,14 @@ def keep_first(docs: DataFrame, narrow: DataFrame, linked: DataFrame) -> DataFra
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th")
     classes = narrow.groupBy("fp").agg(F.min(place).alias("least"))
     roots = components(linked)
-    named = durable(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = noted(classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     # written, so that the joins that bring them back are plain exchanges and a large group's rows can be split
-    first = durable(named.groupBy("root").agg(F.min("least").alias("first")))
-    known = durable(named.join(first, "root").select("fp", "first"))
-    counted = durable(narrow.groupBy("doc_id", "th", "fp").agg(F.count(F.lit(1)).alias("copies")))
+    first = noted(named.groupBy("root").agg(F.min("least").alias("first")))
+    known = noted(named.join(first, "root").select("fp", "first"))
+    counted = noted(narrow.groupBy("doc_id", "th", "fp").agg(F.count(F.lit(1)).alias("copies")))
     groups = counted.join(known, "fp")
-    gone = durable(groups.where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct())
-    twice = durable(groups.where(place.eqNullSafe(F.col("first")) & (F.col("copies") > 1)).select(F.col("doc_id").alias(d), F.col("th").alias(t)))
+    gone = noted(groups.where(~place.eqNullSafe(F.col("first"))).select(F.col("doc_id").alias(d), F.col("th").alias(t)).distinct())
+    twice = noted(groups.where(place.eqNullSafe(F.col("first")) & (F.col("copies") > 1)).select(F.col("doc_id").alias(d), F.col("th").alias(t)))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (digest == F.col(t))
     kept = docs.join(gone, same, "left_anti")
     if not twice.isEmpty():

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granula.llm.common import components, durable, stored
+from granula.llm.common import components, noted, stored
 from granula.llm.fingerprints import shingle_hashes
 
 SIMILARITY, SHINGLE = 0.8, 5
@@ -133,7 +133,7 @@ def possible(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY,
 
     unlike = F.aggregate(F.zip_with(folded("x"), folded("y"), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda t, v: t + v)
     most = (F.col("m") + F.col("n") - unlike) / 2
-    return durable(both.where(most + 1e-9 >= similarity * (F.col("m") + F.col("n") - most)).select("a", "b"))
+    return noted(both.where(most + 1e-9 >= similarity * (F.col("m") + F.col("n") - most)).select("a", "b"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE) -> DataFrame:
@@ -141,7 +141,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, similarity: flo
     if pairs.isEmpty():
         return pairs
     ids = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    named = durable(sets.select("fp", "th").join(ids, "fp", "left_semi").select("th"))
+    named = noted(sets.select("fp", "th").join(ids, "fp", "left_semi").select("th"))
     wanted = _filter(named)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +157,7 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, similarity: flo
     one = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), "text").mapInArrow(run, "fp long, shingles array<long>").groupBy("fp").agg(F.first("shingles").alias("shingles"))
     both = pairs.join(one.select(F.col("fp").alias("a"), F.col("shingles").alias("x")), "a").join(one.select(F.col("fp").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return durable(both.where(shared + 1e-9 >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
+    return noted(both.where(shared + 1e-9 >= similarity * (F.size("x") + F.size("y") - shared)).select("a", "b"))
 
 
 def _folded(m: np.ndarray, size: np.ndarray, to: int) -> np.ndarray:
@@ -270,11 +270,11 @@ def similar_links(sets: DataFrame, docs: DataFrame, known: DataFrame, pairs: Dat
     stars = begun.join(heads, "key").select("fp", "n", "bits", "root", F.explode(F.array(*head)).alias("h"))
     beyond = F.bit_count(F.col("bits").bitwiseXOR(F.col("h.bits"))) > radius
     stars = stars.where((F.col("root") != F.col("h.root")) & fits(F.col("n"), F.col("h.n")) & beyond).select(F.least("fp", "h.fp").alias("a"), F.greatest("fp", "h.fp").alias("b")).distinct()
-    tried = durable(stars.union(pairs))
+    tried = noted(stars.union(pairs))
     first = verified(possible(tried, sets, similarity), sets, docs, similarity, shingle)
     roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(first))
     parted = named(roots, "key", "fp", "n")
     apart = parted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     left = stored(parted.join(apart, "key", "left_semi"))
-    rest = durable(bucket_pairs(left, sets, similarity).join(tried, ["a", "b"], "left_anti"))
+    rest = noted(bucket_pairs(left, sets, similarity).join(tried, ["a", "b"], "left_anti"))
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(verified(possible(rest, sets, similarity, radius), sets, docs, similarity, shingle))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from granula.llm import decontamination, mixing, simhash_dedup, similar_links, toxicity
-from granula.llm.common import table
+from granula.llm.common import components, table
 
 
 def jaccard(a, b):
@@ -188,3 +188,24 @@ def test_stage_goes_by_the_ring(spark, monkeypatch, edits):
     monkeypatch.setattr(simhash_dedup, "similar_links", rest)
     monkeypatch.setattr(simhash_dedup, "ring_links", lambda *a: (none, none))
     assert kept() == want([p for p, d in alike.items() if d > radius or sets[p[0]].tobytes() == sets[p[1]].tobytes()])
+
+
+def test_few_links_are_joined_by_few_tasks(spark):
+    """Rounds over a short list of links do not run as many tasks as there are partitions each time they read or join it."""
+    sc, conf = spark.sparkContext, {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 8], "a long, b long")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup("few links", "")
+        got = {r.node: r.root for r in components(edges).collect()}
+        tracker = sc.statusTracker()
+        stages = {i for j in tracker.getJobIdsForGroup("few links") for i in tracker.getJobInfo(j).stageIds}
+        tasks = sum(s.numCompletedTasks for i in stages if (s := tracker.getStageInfo(i)))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: max(1, (i - 1) // 8 * 8 + 1) for i in range(1, 41)}
+    assert tasks < 2600, tasks
